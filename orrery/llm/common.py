@@ -38,6 +38,15 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A fresh, existing folder in the shared one."""
+    path = new_path(spark, label)
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).mkdirs(p)
+    return path
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here and no executor is needed for it."""
     path = new_path(df.sparkSession, label)

@@ -47,3 +47,50 @@ taken AS (
 SELECT l.doc_id, l.size, l.source_size, l.target, coalesce(t.taken, 0) AS taken
 FROM laid l LEFT JOIN taken t USING (rank)
 """
+
+ORACLES["op8_warc"] = r"""
+WITH payloads AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+firsts AS (
+  SELECT hex, max(page_id) AS first FROM payloads GROUP BY hex)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((CAST('0x' || substr(p.hex, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to
+FROM payloads p JOIN firsts f ON p.hex = f.hex
+"""
+
+
+def _spans(kind: str, place: int, pattern: str, group: int, least: int) -> str:
+    """SQL for one kind's spans: the text between matches gives the places."""
+    p = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, '{kind}' AS kind, {place} AS place, start, start + len(m) AS finish FROM (
+    SELECT doc_id, m, v,
+           list_sum(list_transform(between[:i], lambda x: len(x))) + coalesce(list_sum(list_transform(found[:i - 1], lambda x: len(x))), 0) AS start
+    FROM (SELECT doc_id, found, between, unnest(found) AS m, unnest(vals) AS v, generate_subscripts(found, 1) AS i
+          FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS found, regexp_extract_all(t, '{p}', {group}) AS vals,
+                       string_split_regex(t, '{p}') AS between
+                FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))))
+  WHERE len(v) >= {least}"""
+
+
+def _secrets() -> str:
+    from orrery.llm.secrets import RULES
+
+    every = " UNION ALL ".join(_spans(r.kind, i, r.pattern, r.group, r.least) for i, r in enumerate(RULES))
+    listing = "string_agg(kind || ':' || start || ':' || finish, ',' ORDER BY start, place)"
+    return f"""
+WITH spans AS ({every}),
+per AS (
+  SELECT doc_id, count(*) FILTER (WHERE place = 0) AS n_assign, count(*) FILTER (WHERE place = 1) AS n_access,
+         count(*) FILTER (WHERE place = 2) AS n_hex, {listing} FILTER (WHERE place < 3) AS base, {listing} AS spans
+  FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN per USING (doc_id)
+"""
+
+
+ORACLES["op7_secret_scans"] = _secrets()

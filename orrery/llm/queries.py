@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import mixing, sharding
+from orrery.llm import mixing, packing, quality, secrets, sharding, warc
 from orrery.llm.common import table
 from orrery.llm.oracles import ORACLES
 
 QUERIES = {}
 
 
+def tokenizer_path() -> str:
+    """The installed vocabulary file that packing uses."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def _query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -37,4 +44,44 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every text and the decision list's verdict."""
+    return quality.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+@_query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all pieces in sequences of at most 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path()).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@_query
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and places of the secrets in every text."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), columns=["doc_id"])
+    of = lambda k: F.size(F.filter("_spans", lambda s: s["place"] == k)).cast("long")
+    base = F.filter("_spans", lambda s: s["place"] < len(secrets.BASE))
+    return found.select(
+        "doc_id",
+        of(0).alias("n_assign"),
+        of(1).alias("n_access"),
+        of(2).alias("n_hex"),
+        F.sha2(secrets.listed(base, secrets.RULES), 256).alias("base_sha256"),
+        secrets.listed(F.col("_spans"), secrets.RULES).alias("spans"),
+    )
+
+
+@_query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives say of every page, read back."""
+    return warc.archive_round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 __all__ = ["ORACLES", "QUERIES"]
