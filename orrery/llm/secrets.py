@@ -28,11 +28,13 @@ def either_case(word: str) -> str:
 
 _KEYWORD = "|".join(map(either_case, ("password", "passwd", "secret", "token", "api_?key")))
 
-#: The base rules, in the order in which their kinds are listed.
+#: The base rules, in the order in which their kinds are listed. Where a kind is a run of one character class after a
+#: fixed start, its least length stands in the pattern: the leftmost match takes the whole run, and if that is too short,
+#: so is all that starts later in it. An assignment too short still hides what it spans, so its length is checked after.
 BASE = (
     Rule("assign", rf"({_KEYWORD})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]+", 0, 24),
+    Rule("access", r"AKIA[A-Z0-9]{16,}"),
+    Rule("hex", r"[0-9a-f]{24,}"),
 )
 #: Further kinds: key blocks, signed web tokens and tokens with a vendor's prefix.
 MORE = (
@@ -185,14 +187,16 @@ def _spans(text: Column, rule: Rule, place: int) -> Column:
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     value = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
     between = F.split(text, rule.pattern, -1)
-    lengths = F.transform(
-        found,
-        lambda m, i: F.struct(
-            F.char_length(F.get(between, i)).alias("gap"),
-            F.char_length(m).alias("n"),
-            (F.char_length(F.get(value, i)) >= rule.least).alias("good"),
+    lengths = F.zip_with(
+        F.arrays_zip(found.alias("m"), value.alias("v")),
+        between,
+        lambda x, gap: F.struct(
+            F.char_length(gap).alias("gap"),
+            F.char_length(x["m"]).alias("n"),
+            (F.char_length(x["v"]) >= rule.least).alias("good"),
         ),
     )
+    lengths = F.filter(lengths, lambda x: x["n"].isNotNull())
     none = F.array().cast("array<struct<start:int,place:int,finish:int>>")
     start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
@@ -204,7 +208,7 @@ def _spans(text: Column, rule: Rule, place: int) -> Column:
             F.when(x["good"], F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"),
         )
 
-    return F.when(F.size(found) == 0, none).otherwise(F.aggregate(lengths, start, step, lambda a: a["out"]))
+    return F.when(~F.rlike(text, pattern), none).otherwise(F.aggregate(lengths, start, step, lambda a: a["out"]))
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, columns: list[str] | None = None) -> DataFrame:
