@@ -94,3 +94,24 @@ FROM documents d LEFT JOIN per USING (doc_id)
 
 
 ORACLES["op7_secret_scans"] = _secrets()
+
+ORACLES["op5_embedding_near_dedup"] = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+good AS (
+  SELECT *, list_dot_product(e, e) AS q FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b
+  FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(a.q) * sqrt(b.q)) >= 0.98),
+reach AS (
+  SELECT a AS node, a AS root FROM (SELECT DISTINCT a FROM links)
+  UNION
+  SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a),
+roots AS (SELECT node AS vec_id, min(root) AS root FROM reach GROUP BY node)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN counts USING (vec_id) LEFT JOIN roots USING (vec_id)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import mixing, packing, quality, secrets, sharding, warc
+from orrery.llm import embeddings, html, mixing, packing, quality, secrets, sharding, warc
 from orrery.llm.common import table
 from orrery.llm.oracles import ORACLES
 
@@ -84,4 +84,18 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors with equal labels at cosine 0.98 or more."""
+    return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract_pages(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars")
+    )
+
+
 __all__ = ["ORACLES", "QUERIES"]
