@@ -115,3 +115,32 @@ roots AS (SELECT node AS vec_id, min(root) AS root FROM reach GROUP BY node)
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN counts USING (vec_id) LEFT JOIN roots USING (vec_id)
 """
+
+ORACLES["op9_ngram_jaccard_join"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM words),
+tokens AS (
+  SELECT doc_id, len(s) AS n, hash(t) AS t FROM (SELECT doc_id, s, unnest(s) AS t FROM sets)),
+often AS (
+  SELECT t FROM tokens GROUP BY t HAVING count(*) > 1),
+kept AS (
+  SELECT * FROM tokens SEMI JOIN often USING (t)),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM kept a JOIN kept b ON a.t = b.t AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT a AS node, a AS root FROM (SELECT DISTINCT a FROM links)
+  UNION
+  SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node),
+roots AS (SELECT node AS doc_id, min(root) AS root FROM reach GROUP BY node)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(root, doc_id) AS component_id
+FROM sets LEFT JOIN roots USING (doc_id)
+"""

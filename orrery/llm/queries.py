@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import embeddings, html, mixing, packing, quality, secrets, sharding, warc
+from orrery.llm import embeddings, html, jaccard, mixing, packing, quality, secrets, sharding, warc
 from orrery.llm.common import table
 from orrery.llm.oracles import ORACLES
 
@@ -98,4 +98,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle counts and components of near-duplicate documents."""
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
