@@ -18,7 +18,9 @@ from orrery.llm.common import new_folder, stored
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
 #: Bytes of an archive that one reading task scans.
-SPLIT = 8 << 20
+SPLIT = 4 << 20
+#: Reading tasks at most; beyond it a task takes several ranges.
+MOST_TASKS = 20_000
 #: Bytes read at once.
 CHUNK = 1 << 20
 #: Payloads of fewer bytes are always stored in full.
@@ -121,21 +123,24 @@ def _member(data: bytes, at: int, source, offset: int) -> tuple[bytes, int] | No
     """The gzip member at ``at`` of ``data`` if it holds a WARC record, and the archive offset after it."""
     unpack = zlib.decompressobj(31)
     end = offset + len(data)
+    parts, seen, rest = [], b"", data[at:]
     try:
-        out = unpack.decompress(data[at : at + 4096], 64)
-        if not out.startswith(b"WARC/1."):
-            return None
-        parts = [out]
-        rest = unpack.unconsumed_tail + data[at + 4096 :]
         while True:
-            parts.append(unpack.decompress(rest))
+            out = unpack.decompress(rest, 0 if len(seen) >= 7 else 64)
+            parts.append(out)
+            if len(seen) < 7:
+                seen = b"".join(parts)
+                if len(seen) >= 7 and not seen.startswith(b"WARC/1."):
+                    return None
             if unpack.eof:
-                return b"".join(parts), end - len(unpack.unused_data)
-            source.seek(end)
-            rest = source.read(CHUNK)
+                return (b"".join(parts), end - len(unpack.unused_data)) if len(seen) >= 7 else None
+            rest = unpack.unconsumed_tail
             if not rest:
-                return None
-            end += len(rest)
+                source.seek(end)
+                rest = source.read(CHUNK)
+                if not rest:
+                    return None
+                end += len(rest)
     except zlib.error:
         return None
 
@@ -234,7 +239,8 @@ def read_archives(manifest: DataFrame, split: int = SPLIT) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    return ranges.repartition(F.col("path"), F.col("low")).mapInArrow(read, READ)
+    spread = max(1, manifest.agg(F.sum(F.ceil(F.col("bytes") / split))).first()[0] or 1)
+    return ranges.repartition(min(spread, MOST_TASKS), F.col("path"), F.col("low")).mapInArrow(read, READ)
 
 
 def archive_round_trip(pages: DataFrame, min_revisit: int = MIN_REVISIT, split: int = SPLIT) -> DataFrame:
