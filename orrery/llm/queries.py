@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import embeddings, html, jaccard, mixing, packing, quality, secrets, sharding, warc
+from orrery.llm import embeddings, html, jaccard, mixing, packing, quality, secrets, sharding, substrings, warc
 from orrery.llm.common import table
 from orrery.llm.oracles import ORACLES
 
@@ -104,4 +104,12 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without its repeated 200-byte strings."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 __all__ = ["ORACLES", "QUERIES"]
