@@ -1,3 +1,7 @@
 """Imports every query module, so that the registry is full."""
 
-FLAGSHIP = "op1_mixing"
+from orrery.plans import q_kg, q_spatial, q_temporal, q_windows
+
+FLAGSHIP = "kg_statistics"
+
+__all__ = ["FLAGSHIP", "q_kg", "q_spatial", "q_temporal", "q_windows"]
