@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ _SPACES = (
 )
 _BEFORE_SPACE = [f"{c} " for c in _SPACES]
 
-PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
+PIECES = "doc_id long, start long, length long, doc_tokens long, ids_crc32 long, ids binary"
 
 
 class Encoder:
@@ -91,16 +92,19 @@ class Encoder:
         ]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH, end: int = END) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH, end: int = END, with_ids: bool = True
+) -> DataFrame:
     """Encode whole texts (null: empty), end each with ``end`` and cut at multiples of ``max_length``.
 
-    Returns doc_id, start, length, doc_tokens and the ids as little-endian unsigned 32-bit bytes.
+    Returns doc_id, start, length, doc_tokens, the checksum of the ids as little-endian unsigned 32-bit bytes, and those
+    bytes (null unless ``with_ids``).
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, tail = Encoder.load(tokenizer), np.asarray([end], dtype="<u4").tobytes()
         schema = pa.schema(
-            [("doc_id", pa.int64()), *[(n, pa.int64()) for n in ("start", "length", "doc_tokens")], ("ids", pa.binary())]
+            [(n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens", "ids_crc32")] + [("ids", pa.binary())]
         )
         for batch in batches:
             texts = batch.column(1)
@@ -110,10 +114,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH,
                 for doc, ids in zip(batch.column(0).slice(lo, 256).to_pylist(), whole, strict=True):
                     ids += tail
                     n = len(ids) // 4
-                    rows += [
-                        (doc, s, min(max_length, n - s), n, ids[4 * s : 4 * min(n, s + max_length)])
-                        for s in range(0, n, max_length)
-                    ]
+                    for s in range(0, n, max_length):
+                        part = ids[4 * s : 4 * min(n, s + max_length)]
+                        rows.append((doc, s, len(part) // 4, n, crc32(part), part if with_ids else None))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema
                 )
@@ -159,7 +162,9 @@ def pack_histogram(counts: dict[int, int], max_length: int = MAX_LENGTH) -> list
     return places
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH, end: int = END) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH, end: int = END, with_ids: bool = True
+) -> DataFrame:
     """Pack all documents into sequences of at most ``max_length`` tokens.
 
     ``docs`` needs doc_id and text; other columns are ignored. Documents are cut at multiples of ``max_length``; the
@@ -170,10 +175,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH
     Defined cases: a null or empty text is the end token alone; rows that repeat are packed each; a null id stays null;
     an empty table gives no rows.
 
-    Returns doc_id, start, length, doc_tokens, ids (bytes), sequence_id, offset.
+    Returns doc_id, start, length, doc_tokens, ids_crc32, ids (bytes; null unless ``with_ids``, where only the places and
+    checksums travel), sequence_id, offset.
     """
     spark = docs.sparkSession
-    pieces = stored(token_pieces(docs, tokenizer, max_length, end), "pack-pieces")
+    pieces = stored(token_pieces(docs, tokenizer, max_length, end, with_ids), "pack-pieces")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = pack_histogram(counts, max_length)
     table = spark.createDataFrame(
@@ -188,7 +194,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH
         .agg(F.count(F.lit(1)).alias("n"))
         .select("length", "bucket", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
     )
-    inside = W.partitionBy("length", "bucket").orderBy("doc_id", "start", "doc_tokens", "ids")
+    inside = W.partitionBy("length", "bucket").orderBy("doc_id", "start", "doc_tokens", "ids_crc32")
     ranked = (
         bucketed.withColumn("_row", F.row_number().over(inside) - 1)
         .join(sizes, ["length", "bucket"])
@@ -202,6 +208,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH
             "start",
             "length",
             "doc_tokens",
+            "ids_crc32",
             "ids",
             (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"),
             "offset",

@@ -55,8 +55,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of all pieces in sequences of at most 2048 tokens."""
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path()).select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
 
 
