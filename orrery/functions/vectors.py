@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
@@ -68,18 +73,31 @@ def scaled(v: Column, k: Column) -> Column:
 
 def exp_map_zero(u: Column, c: float) -> Column:
     """Exponential map at the origin of the Poincare ball of curvature c."""
-    n = F.greatest(norm(u), F.lit(1e-15))
-    return scaled(u, F.tanh(n * c**0.5) / (n * c**0.5))
+
+    def at(w: Column) -> Column:
+        return let(
+            F.greatest(norm(w), F.lit(1e-15)) * c**0.5, lambda n: let(F.tanh(n) / n, lambda k: F.transform(w, lambda x: x * k))
+        )
+
+    return let(u, at)
 
 
 def mobius_add(x: Column, y: Column, c: float) -> Column:
-    xy, xx, yy = dot(x, y), dot(x, x), dot(y, y)
-    a = 1 + 2 * c * xy + c * yy
-    b = 1 - c * xx
-    d = F.greatest(1 + 2 * c * xy + c * c * xx * yy, F.lit(1e-15))
-    return F.zip_with(x, y, lambda p, q: (a * p + b * q) / d)
+    def add(s: Column) -> Column:
+        p, q = s["x"], s["y"]
+        parts = F.struct(dot(p, q).alias("xy"), dot(p, p).alias("xx"), dot(q, q).alias("yy"))
+
+        def mixed(m: Column) -> Column:
+            a = 1 + 2 * c * m["xy"] + c * m["yy"]
+            b = 1 - c * m["xx"]
+            d = F.greatest(1 + 2 * c * m["xy"] + c * c * m["xx"] * m["yy"], F.lit(1e-15))
+            return F.zip_with(p, q, lambda i, j: (a * i + b * j) / d)
+
+        return let(parts, mixed)
+
+    return let(F.struct(x.alias("x"), y.alias("y")), add)
 
 
 def hyperbolic_distance(x: Column, y: Column, c: float) -> Column:
-    n = norm(mobius_add(F.transform(x, lambda v: -v), y, c))
+    n = let(mobius_add(F.transform(x, lambda v: -v), y, c), norm)
     return F.lit(2 / c**0.5) * F.atanh(F.least(F.lit(c**0.5) * n, F.lit(1 - 1e-5)))
