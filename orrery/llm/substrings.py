@@ -19,6 +19,8 @@ LENGTH = 200
 GRAM = 48
 #: Anchors with more different surroundings than this are compared window by window instead of in one sort.
 CROWD = 64
+#: Windows of crowded anchors that are counted together first.
+BLOCK = 16
 #: Ids are broadcast up to so many rows, otherwise joined by sort and merge.
 BROADCAST_ROWS = 1_000_000
 #: Surroundings sorted at once.
@@ -286,25 +288,52 @@ def _sorted_groups(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(work, "doc long, start long, end long")
 
 
-def _window_hashes(rows: DataFrame) -> DataFrame:
-    """Two hashes of each window of crowded anchors' surroundings: x, y, doc, start."""
+def _two_hashes(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each window of ``width`` bytes."""
+    mirrored = np.bitwise_xor(data[::-1], np.uint8(0x5A))
+    return Prefix(data).windows(width), Prefix(mirrored).windows(width)[::-1]
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Crowded anchors' surroundings in blocks of ``BLOCK`` windows, by distance from the anchor, with two hashes each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, first, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            out = []
+            columns = [batch.column(i).to_pylist() for i in range(4)]
+            for doc, first, windows, back, raw in zip(*columns, batch.column(4), strict=True):
                 data = np.frombuffer(raw.as_py(), np.uint8)
-                h = Prefix(data).windows(LENGTH)
-                g = Prefix(np.bitwise_xor(data[::-1], np.uint8(0x5A))).windows(LENGTH)[::-1]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "x": _signed(h),
-                        "y": _signed(g),
-                        "doc": pa.array(np.full(len(h), doc, np.int64)),
-                        "start": pa.array(first + np.arange(len(h), dtype=np.int64)),
-                    }
+                for block in range((back - windows + 1) // BLOCK, back // BLOCK + 1):
+                    low, high = max(0, back - BLOCK * block - BLOCK + 1), min(windows - 1, back - BLOCK * block)
+                    part = data[low : high + LENGTH]
+                    x, y = _two_hashes(part, len(part))
+                    out.append((int(x.view(np.int64)[0]), int(y.astype(np.uint64).view(np.int64)[0]), doc, first + low, high - low + 1, part.tobytes()))
+            if out:
+                kinds = (*[pa.int64()] * 5, pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
+                    names=["x", "y", "doc", "start", "windows", "bytes"],
                 )
 
-    return rows.select("doc", "first", "bytes").mapInArrow(work, "x long, y long, doc long, start long")
+    return rows.select("doc", "first", "windows", "back", "bytes").mapInArrow(
+        work, "x long, y long, doc long, start long, windows long, bytes binary"
+    )
+
+
+def _window_hashes(rows: DataFrame) -> DataFrame:
+    """Two hashes of each window of blocks (doc, start, bytes): x, y, doc, start."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, first, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                x, y = _two_hashes(np.frombuffer(raw.as_py(), np.uint8), LENGTH)
+                out.append((x, y, np.full(len(x), doc, np.int64), first + np.arange(len(x), dtype=np.int64)))
+            if out:
+                x, y, doc, start = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_pydict({"x": _signed(x), "y": _signed(y), "doc": pa.array(doc), "start": pa.array(start)})
+
+    return rows.select("doc", "start", "bytes").mapInArrow(work, "x long, y long, doc long, start long")
 
 
 REMOVED = "n_bytes long, n_removed long, n_spans long, kept binary"
@@ -318,8 +347,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
        are done with. Of the others, runs of windows equal in all their bytes (by hash) repeat as a whole.
     3. Anchors that occur in different surroundings: the surrounding bytes are fetched and the suffixes at the anchors
        are sorted by hash-compared mergesort; common extensions, verified byte by byte, name the windows that repeat.
-    4. Anchors with more than ``CROWD`` surroundings (common passages) are not gathered: their windows are counted by
-       two hashes, which sums before the shuffle.
+    4. Anchors with more than ``CROWD`` surroundings (common passages) are not gathered: blocks of their windows are
+       counted by two hashes, then the windows of one block of each content; both sum before the shuffle.
 
     Defined cases: a null text is empty; texts under 200 bytes stay whole; rows that repeat are equal texts and go; an id
     stands for one text, a null id is replaced by a hash of the text inside; an empty table gives no rows; other columns
@@ -365,10 +394,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     wanted = contents.join(several, "key").select("key", "one.*", (F.col("crowd") > CROWD).alias("crowd"))
     around = stored(_surroundings(texts, wanted), "substr-bytes")
     sorted_ = _sorted_groups(around.where("not crowd"))
-    windows = stored(_window_hashes(around.where("crowd")), "substr-windows")
+    blocks = stored(_blocks(around.where("crowd")), "substr-blocks")
+    alike = blocks.groupBy("x", "y").agg(
+        F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "start", "windows", "bytes")).alias("one")
+    )
+    alike = stored(alike, "substr-alike")
+    crowded = blocks.join(alike.where("times > 1").select("x", "y"), ["x", "y"]).select(
+        "doc", "start", (F.col("start") + F.col("windows") - 1 + LENGTH).alias("end")
+    )
+    windows = stored(_window_hashes(alike.select("one.*")), "substr-windows")
     twice = windows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    crowded = windows.join(twice, ["x", "y"]).select("doc", "start", (F.col("start") + LENGTH).alias("end"))
-    found = marks.unionByName(sorted_).unionByName(crowded)
+    single = windows.join(twice, ["x", "y"]).select("doc", "start", (F.col("start") + LENGTH).alias("end"))
+    found = marks.unionByName(sorted_).unionByName(crowded).unionByName(single)
     spans = found.groupBy("doc", "end").agg(F.min("start").alias("start")).groupBy("doc").agg(
         F.collect_list(F.struct("start", "end")).alias("spans")
     )
