@@ -19,12 +19,14 @@ PERCENT = 80
 WIDTH = 5
 #: Counters of shingles; the table of those far above the mean is all that is broadcast.
 COUNTERS = 1 << 20
-#: A prefix grows by so many tokens at most.
-MAX_MORE = 12
+#: A prefix grows by this part of itself, and by a part as large again for every factor of 16 in its estimated cost.
+GROWTH = 0.25
 #: A list of ids is broadcast up to so many rows, otherwise joined by sort and merge.
 BROADCAST_ROWS = 1_000_000
 #: Leaders that a document is verified against before pairs are made.
-LEADERS = 3
+LEADERS = 2
+#: A leader must share this part of a document's set in tokens that it leads.
+LED = 1 / 16
 #: Documents compared with one leader in one task.
 CHUNK = 500
 
@@ -59,7 +61,8 @@ def _shapes(docs: DataFrame) -> DataFrame:
                     "times": pa.nulls(n, pa.int64()),
                 }
             )
-        high = np.flatnonzero(counts > 4 * counts.mean() + 16)
+        mean = counts.mean()
+        high = np.flatnonzero(counts > mean + 6 * mean**0.5 + 4)
         n = len(high)
         yield pa.RecordBatch.from_pydict(
             {c: pa.nulls(n, pa.int64()) for c in ("doc_id", "n", "h1", "h2")}
@@ -75,8 +78,8 @@ def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataF
     """Per document its multi-match prefix: (doc, n, more, tokens).
 
     Tokens stand in one global order, those of frequent counters last. With n - ceil(0.8 n) + 1 tokens, two linked
-    documents share one; with k more tokens on both sides they share k + 1. ``more`` is k: it grows with the logarithm of
-    the candidates that the counters promise for the plain prefix.
+    documents share one; with k more tokens on both sides they share k + 1. ``more`` is k: a part of the plain prefix that
+    grows with the logarithm of the candidates that the counters promise for it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -95,7 +98,8 @@ def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataF
                 cost = np.where(at[k] == counter, times[k], 0) if len(at) else np.zeros(n, np.int64)
                 order = np.lexsort((mix(s, 5), cost))
                 plain = n - -(-PERCENT * n // 100) + 1
-                more = min(n - plain, MAX_MORE, int(2 * log2(1 + int(cost[order[:plain]].sum()))))
+                factor = 1 + log2(1 + int(cost[order[:plain]].sum())) / 4
+                more = min(n - plain, int(plain * GROWTH * factor))
                 ids.append(doc)
                 ns.append(n)
                 mores.append(more)
@@ -191,24 +195,27 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         usable.join(several, ["n", "h1", "h2"]).where("doc_id <> rep").select("doc_id", "rep"), "jaccard-copies"
     )
     single = docs.where("doc_id is not null")
-    prefixes = _ids_joined(_prefixes(single, frequent), "doc", copies.select(F.col("doc_id").alias("id")), "left_anti")
-    tokens = prefixes.select("doc", "n", "more", F.explode("tokens").alias("token"))
+    spare = copies.select(F.col("doc_id").alias("id"))
+    prefixes = stored(_ids_joined(_prefixes(single, frequent), "doc", spare, "left_anti"), "jaccard-prefixes")
+    sizes = prefixes.select("doc", "n", "more")
+    tokens = prefixes.select("doc", F.explode("tokens").alias("token"))
     shared = (
         tokens.groupBy("token").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).where("leader < last").drop("last")
     )
     shared = stored(tokens.join(shared, "token"), "jaccard-shared")
 
     led = shared.where("doc <> leader").groupBy("doc", "leader").agg(F.count(F.lit(1)).alias("times"))
+    led = led.join(sizes, "doc").where(F.col("times") >= LED * F.col("n"))
     best = F.slice(F.sort_array(F.collect_list(F.struct("times", "leader")), asc=False), 1, LEADERS)
     led = led.groupBy("doc").agg(best.alias("l")).select("doc", F.explode("l.leader").alias("leader"))
     links = stored(_verified(single, stored(led, "jaccard-led")), "jaccard-links")
     found = stored(connected_components(links, "jaccard-stars"), "jaccard-groups")
 
     named = shared.join(found, F.col("doc") == F.col("node"), "left").select(
-        "token", "doc", "n", "more", F.coalesce("component", "doc").alias("group")
+        "token", "doc", F.coalesce("component", "doc").alias("group")
     )
     mixed = named.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi")
-    named = stored(named.join(mixed.select("token"), "token"), "jaccard-mixed")
+    named = stored(named.join(mixed.select("token"), "token").join(sizes, "doc"), "jaccard-mixed")
     a, b = named.alias("a"), named.alias("b")
     pairs = (
         a.join(
