@@ -50,7 +50,7 @@ def encoded(quads: DataFrame) -> DataFrame:
     relations = global_rank(quads.select(F.col("relation").alias("r")).distinct(), ["r"], "relation_id")
     h = ids.select(F.col("name").alias("head"), F.col("id").alias("head_id"))
     t = ids.select(F.col("name").alias("tail"), F.col("id").alias("tail_id"))
-    out = quads.join(F.broadcast(relations), F.col("relation") == F.col("r")).join(h, "head").join(t, "tail")
+    out = quads.join(relations, F.col("relation") == F.col("r")).join(h, "head").join(t, "tail")
     return out.select("head_id", "relation_id", "tail_id", "start_date", "end_date")
 
 

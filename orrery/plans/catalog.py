@@ -1,7 +1,7 @@
 """Imports every query module, so that the registry is full."""
 
-from orrery.plans import q_kg, q_ranking, q_spatial, q_streams, q_temporal, q_windows
+from orrery.plans import q_kg, q_more, q_ranking, q_spatial, q_streams, q_temporal, q_windows
 
 FLAGSHIP = "kg_statistics"
 
-__all__ = ["FLAGSHIP", "q_kg", "q_ranking", "q_spatial", "q_streams", "q_temporal", "q_windows"]
+__all__ = ["FLAGSHIP", "q_kg", "q_more", "q_ranking", "q_spatial", "q_streams", "q_temporal", "q_windows"]

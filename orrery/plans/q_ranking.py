@@ -48,7 +48,7 @@ def _candidates(spark, d):
     v = vectors(spark, d)
     a = v.select(F.col("vec_id").alias("h"), "label", F.col("e").alias("h_e"), (F.col("vec_id") % 5).alias("k")).where("h % 10 = 0")
     b = v.select(F.col("vec_id").alias("t"), F.col("e").alias("t_e"), (F.col("vec_id") % 5).alias("k"))
-    return a.join(F.broadcast(label_means(v)), "label").join(b, "k").drop("k")
+    return a.join(label_means(v), "label").join(b, "k").drop("k")
 
 
 @query(
@@ -226,8 +226,8 @@ def softmax_candidates(spark, d):
     """Softmax over a group's candidates: two aggregates joined back, no window over a hot group."""
     s = table(spark, d, "events").groupBy("event_type", "user_id").agg((F.avg("value") / 100).alias("x"))
     m = s.groupBy("event_type").agg(F.max("x").alias("m"))
-    z = s.join(F.broadcast(m), "event_type").groupBy("event_type", "m").agg(F.sum(F.exp(F.col("x") - F.col("m"))).alias("z"))
-    return s.join(F.broadcast(z), "event_type").select("event_type", "user_id", F.round(F.exp(F.col("x") - F.col("m")) / F.col("z"), 6).alias("p"))
+    z = s.join(m, "event_type").groupBy("event_type", "m").agg(F.sum(F.exp(F.col("x") - F.col("m"))).alias("z"))
+    return s.join(z, "event_type").select("event_type", "user_id", F.round(F.exp(F.col("x") - F.col("m")) / F.col("z"), 6).alias("p"))
 
 
 @query(
@@ -238,7 +238,7 @@ FROM v JOIN rel USING (label)""",
 def fused_embeddings(spark, d):
     """Weighted sum where a mask allows it, else the static vector; width of the concatenation."""
     v = vectors(spark, d)
-    j = v.join(F.broadcast(label_means(v)), "label")
+    j = v.join(label_means(v), "label")
     mixed = F.zip_with("e", "r", lambda x, y: F.round(0.7 * x + 0.3 * y, 4))
     alone = F.transform("e", lambda x: F.round(x, 4))
     return j.select(
