@@ -130,7 +130,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, til
     )
     classes = stored(classes, "vector-classes")
     sizes = classes.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).alias("tiles"))
-    dealt = classes.join(F.broadcast(sizes), "label").withColumn("t", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    dealt = classes.join(sizes, "label").withColumn("t", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
 
     def blob(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rep")
