@@ -225,12 +225,9 @@ def extract_pages(pages: DataFrame, limit: int = LABELLED) -> DataFrame:
 
     Returns page_id, url, text.
     """
-    sample = (
-        pages.where(F.lower("html").contains("<article"))
-        .orderBy(F.xxhash64(F.lit("weights"), "page_id"), "page_id")
-        .select("html")
-        .limit(limit)
-    )
+    marked = pages.where(F.lower("html").contains("<article") & F.col("page_id").isNotNull())
+    chosen = marked.select(F.col("page_id").alias("id")).orderBy(F.xxhash64(F.lit("weights"), "id"), "id").limit(limit)
+    sample = marked.join(F.broadcast(chosen), F.col("page_id") == F.col("id"), "left_semi").select("html").limit(limit)
     weights = learn_weights([r.html for r in sample.collect()])
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
