@@ -197,3 +197,28 @@ def quadkey(lon: Column, lat: Column, level: int) -> Column:
 
 def snapped(v: Column, grid: float) -> Column:
     return F.round(v / grid) * grid
+
+
+def transverse_mercator(lon: Column, lat: Column, meridian: float, scale: float = 0.9996) -> tuple[Column, Column]:
+    """UTM easting and northing in metres on GRS80, by the published series (Snyder 1987, 8-9 to 8-15)."""
+    a, f = 6378137.0, 1 / 298.257222101
+    e2 = f * (2 - f)
+    ep = e2 / (1 - e2)
+    p = F.radians(lat)
+    n = a / F.sqrt(1 - e2 * F.pow(F.sin(p), 2))
+    t, c = F.pow(F.tan(p), 2), ep * F.pow(F.cos(p), 2)
+    w = F.cos(p) * F.radians(lon - meridian)
+    m = a * (
+        (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * p
+        - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * F.sin(2 * p)
+        + (15 * e2**2 / 256 + 45 * e2**3 / 1024) * F.sin(4 * p)
+        - (35 * e2**3 / 3072) * F.sin(6 * p)
+    )
+    x = scale * n * (w + (1 - t + c) * F.pow(w, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * F.pow(w, 5) / 120) + 500000
+    y = scale * (
+        m
+        + n
+        * F.tan(p)
+        * (w * w / 2 + (5 - t + 9 * c + 4 * c * c) * F.pow(w, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * F.pow(w, 6) / 720)
+    )
+    return x, y

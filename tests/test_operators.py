@@ -117,3 +117,9 @@ def test_plans_have_no_nested_loop_over_facts(spark):
     for name in ("interval_quarters", "kernel_density", "relation_pair_lags", "offset_samples"):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def test_projection(spark):
+    row = spark.range(1).select(*spatial.transverse_mercator(F.lit(-87.0), F.lit(0.0), -87.0), *spatial.transverse_mercator(F.lit(-87.6298), F.lit(41.8781), -87.0)).first()
+    assert row[0] == 500000 and row[1] == 0
+    assert abs(row[2] - 447726) < 30 and abs(row[3] - 4636393) < 300
