@@ -8,6 +8,7 @@ from math import log2
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.llm.common import stored
@@ -27,6 +28,8 @@ BROADCAST_ROWS = 1_000_000
 LEADERS = 2
 #: A leader must share this part of a document's set in tokens that it leads.
 LED = 1 / 16
+#: Turns in which only the best pairs of each document are verified, before all that still lie between components.
+ROUNDS = 2
 #: Documents compared with one leader in one task.
 CHUNK = 500
 
@@ -173,7 +176,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     3. Leaders: each class is verified against the smallest document of the tokens it shares most of, which joins the
        members of a large group of near copies by as many pairs as it has members.
     4. Pairs: classes still in different components that share as many prefix tokens as their prefixes were lengthened by,
-       plus one, are verified. Pairs inside a component could not change it, so none are made.
+       plus one, are verified: first each document's best pairs, in turns, then all that are left. Pairs inside a
+       component could not change it, so they are dropped.
 
     Defined cases: null and empty texts and such without words have no shingles and stay alone; a null doc_id stays alone
     (component null) and links nothing; rows that repeat are one document to the join and a row each in the result; an
@@ -228,11 +232,27 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         .groupBy(F.col("b.doc").alias("doc"), F.col("a.doc").alias("leader"))
         .agg(F.count(F.lit(1)).alias("times"), F.min(F.least("a.more", "b.more")).alias("more"))
         .where("times > more")
-        .select("doc", "leader")
+        .select("doc", "leader", "times")
     )
-    more = stored(_verified(single, stored(pairs, "jaccard-pairs")), "jaccard-more")
+    rest = stored(pairs, "jaccard-pairs")
+    for turn in range(ROUNDS + 1):
+        place = F.row_number().over(W.partitionBy("doc").orderBy(F.desc("times"), "leader"))
+        tried = rest if turn == ROUNDS else rest.withColumn("place", place).where(F.col("place") <= LEADERS).drop("place")
+        tried = stored(tried, "jaccard-tried")
+        if tried.isEmpty():
+            break
+        links = stored(links.unionByName(_verified(single, tried.select("doc", "leader"))), "jaccard-links")
+        if turn == ROUNDS:
+            break
+        found = stored(connected_components(links, "jaccard-stars"), "jaccard-groups")
+        one = found.select(F.col("node").alias("doc"), F.col("component").alias("g"))
+        two = found.select(F.col("node").alias("leader"), F.col("component").alias("k"))
+        rest = rest.join(tried.select("doc", "leader"), ["doc", "leader"], "left_anti")
+        rest = rest.join(one, "doc", "left").join(two, "leader", "left")
+        apart = F.coalesce("g", "doc") != F.coalesce("k", "leader")
+        rest = stored(rest.where(apart).select("doc", "leader", "times"), "jaccard-rest")
     same = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    groups = connected_components(links.unionByName(more).unionByName(same), "jaccard-all")
+    groups = connected_components(links.unionByName(same), "jaccard-all")
     return shapes.join(groups, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
