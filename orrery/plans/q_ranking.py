@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from orrery.functions import metrics as M
@@ -43,12 +44,14 @@ def label_mean_vectors(spark, d):
 _CAND = "SELECT a.vec_id AS h, a.label, a.e AS h_e, rel.r, b.vec_id AS t, b.e AS t_e FROM v a JOIN rel ON a.label = rel.label JOIN v b ON b.vec_id % 5 = a.vec_id % 5"
 
 
-def _candidates(spark, d):
-    """Heads with candidate tails of the same residue; a declared candidate rule, so an equi-join."""
+def _heads(spark, d):
+    """Every vector as a head, with its relation (the mean of its label)."""
     v = vectors(spark, d)
-    a = v.select(F.col("vec_id").alias("h"), "label", F.col("e").alias("h_e"), (F.col("vec_id") % 5).alias("k")).where("h % 10 = 0")
-    b = v.select(F.col("vec_id").alias("t"), F.col("e").alias("t_e"), (F.col("vec_id") % 5).alias("k"))
-    return a.join(label_means(v), "label").join(b, "k").drop("k")
+    return v.select(F.col("vec_id").alias("h"), "label", F.col("e").alias("h_e")).join(label_means(v), "label")
+
+
+def _tails(spark, d):
+    return vectors(spark, d).select(F.col("vec_id").alias("t"), F.col("e").alias("t_e"), F.col("label").alias("own"))
 
 
 @query(
@@ -61,15 +64,29 @@ SELECT h, t, round(-sqrt(list_sum(list_transform(list_zip(h_e, r, t_e), lambda z
 FROM c""",
 )
 def fact_scores(spark, d):
-    """Translation, product, complex and rotation scores."""
-    s = R.scores(F.col("h_e"), F.col("r"), F.col("t_e"))
-    return _candidates(spark, d).select("h", "t", *[(F.round(c, 4) + F.lit(0.0)).alias(n) for n, c in s.items()])
+    """Translation, product, complex and rotation scores of every head against every vector."""
+    q = R.queries(F.col("h_e"), F.col("r"))
+    s = R.block_scores(
+        _heads(spark, d).select("h", *[c.alias(n) for n, c in q.items()]),
+        _tails(spark, d).select("t", "t_e"),
+        {
+            "transe": lambda q, t: -np.sqrt(R.distances(q, t)),
+            "distmult": lambda q, t: q @ t.T,
+            "complex": lambda q, t: q @ t.T,
+            "rote": lambda q, t: -R.distances(q, t),
+        },
+    )
+    return s.select("h", "t", *[(F.round(n, 4) + F.lit(0.0)).alias(n) for n in q])
 
 
 @query("hyperbolic_scores")
 def hyperbolic_scores(spark, d):
-    """Scores on the Poincare ball."""
-    return _candidates(spark, d).select("h", "t", F.round(R.hyperbolic_score(F.col("h_e"), F.col("r"), F.col("t_e")), 4).alias("score"))
+    """Scores on the Poincare ball of every head against every vector."""
+    q = V.mobius_add(V.exp_map_zero(F.col("h_e"), 1.0), V.exp_map_zero(F.col("r"), 1.0), 1.0)
+    s = R.block_scores(
+        _heads(spark, d).select("h", q.alias("score")), _tails(spark, d).select("t", V.exp_map_zero(F.col("t_e"), 1.0).alias("t_e")), {"score": R.ball_scores}
+    )
+    return s.select("h", "t", F.round("score", 4).alias("score"))
 
 
 _SCORED = """scored AS (SELECT h, label, t, round(-sqrt(list_sum(list_transform(list_zip(h_e, r, t_e), lambda z: power(z[1] + z[2] - z[3], 2)))), 6) AS s, (h * 7 + 10) % (SELECT count(*) FROM v) // 5 * 5 + h % 5 AS target FROM c)"""
@@ -84,14 +101,15 @@ goal AS (SELECT h, s AS g FROM scored WHERE t = target)
 SELECT goal.h, CAST(1 + count(*) FILTER (WHERE ok.t <> ok.target AND ok.s >= g) AS BIGINT) AS rank FROM goal JOIN ok ON ok.h = goal.h GROUP BY 1""",
 )
 def filtered_ranks(spark, d):
-    """Pessimistic ranks without known facts."""
+    """Pessimistic rank of every head among all vectors without known facts."""
     n = table(spark, d, "embeddings").count()
-    c = _candidates(spark, d)
-    target = F.floor((F.col("h") * 7 + 10) % n / 5) * 5 + F.col("h") % 5
-    s = c.select("h", "label", "t", F.round(R.scores(F.col("h_e"), F.col("r"), F.col("t_e"))["transe"], 6).alias("s"), target.alias("target"))
-    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("t"), F.col("label").alias("own"))
-    known = s.join(own, "t").where("own = label").select("h", "t")
-    return R.filtered_rank(s.drop("label"), ["h"], "t", "s", "target", known)
+    target = (F.floor((F.col("h") * 7 + 10) % n / 5) * 5 + F.col("h") % 5) % n
+    tails = _tails(spark, d)
+    heads = _heads(spark, d).withColumn("target", target)
+    goal = heads.join(tails, F.col("target") == F.col("t"))
+    s = R.scores(F.col("h_e"), F.col("r"), F.col("t_e"))["transe"]
+    goal = goal.select("h", "label", "target", V.plus(F.col("h_e"), F.col("r")).alias("q"), F.round(s, 6).alias("goal"))
+    return R.block_ranks(goal, tails)
 
 
 @query(
