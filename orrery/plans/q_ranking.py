@@ -269,11 +269,17 @@ def fused_embeddings(spark, d):
     """SELECT c.c_custkey AS k, count(*) AS candidates FROM customer c JOIN supplier s ON c.c_nationkey % 5 = s.s_nationkey % 5 AND (s.s_suppkey % 10 = 0 OR s.s_nationkey = c.c_nationkey) GROUP BY 1""",
 )
 def type_constrained_candidates(spark, d):
-    """Candidates of the right type; untyped ones (every tenth) always pass."""
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_nationkey", (F.col("c_nationkey") % 5).alias("m"))
-    s = table(spark, d, "supplier").select("s_nationkey", "s_suppkey", (F.col("s_nationkey") % 5).alias("m"))
-    ok = (F.col("s_suppkey") % 10 == 0) | (F.col("s_nationkey") == F.col("c_nationkey"))
-    return c.join(s, "m").where(ok).groupBy("k").agg(F.count(F.lit(1)).alias("candidates"))
+    """Candidates of the right type; untyped ones (every tenth) always pass, and a customer without nation takes all.
+
+    Counts per nation, and the untyped suppliers of the other nations from one aggregate: no pair is made.
+    """
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_nationkey")
+    untyped = F.count_if(F.col("s_suppkey") % 10 == 0)
+    n = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("own"), untyped.alias("untyped"))
+    every = n.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"all_{c}") for c in ("own", "untyped")])
+    j = c.join(n, F.col("c_nationkey") == F.col("s_nationkey"), "left").join(F.broadcast(every))
+    found = F.coalesce(F.col("own") - F.col("untyped"), F.lit(0)) + F.col("all_untyped")
+    return j.select("k", F.when(F.col("c_nationkey").isNull(), F.col("all_own")).otherwise(found).alias("candidates")).where("candidates > 0")
 
 
 @query(

@@ -71,3 +71,10 @@ def test_scores_of_all_pairs(spark):
     for r in df.join(ball, ["h", "t"]).join(sample, ["h", "t"]).collect():
         for n in s:
             assert r[n] == pytest.approx(want[r.h, r.t][n], abs=6e-5), n
+
+
+def test_untyped_suppliers_are_candidates_of_every_customer(spark, tmp_path):
+    spark.createDataFrame([(1, 0), (2, 1), (3, 7), (4, None)], "c_custkey long, c_nationkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(1, 0), (5, 1), (10, 1), (20, 3), (30, None), (12, 5)], "s_suppkey long, s_nationkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = {r.k: r.candidates for r in run(spark, "type_constrained_candidates", str(tmp_path)).collect()}
+    assert got == {1: 4, 2: 4, 3: 3, 4: 6}
