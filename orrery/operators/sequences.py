@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -65,3 +66,25 @@ def greedy_interval(scores: DataFrame, key: str, time: str, score: str, share: f
 
     kinds = {f.name: f.dataType.simpleString() for f in scores.schema}
     return scores.groupBy(key).applyInPandas(grow, f"{key} {kinds[key]}, begin {kinds[time]}, finish {kinds[time]}, mass double")
+
+
+def warped(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Dynamic time warping distances of the columns of ``x`` and ``y``, all columns at once."""
+    row = [np.zeros(x.shape[1])] + [np.full(x.shape[1], np.inf)] * len(y)
+    for a in x:
+        new = [np.full(x.shape[1], np.inf)]
+        for j, b in enumerate(y):
+            new.append(np.abs(a - b) + np.minimum(np.minimum(row[j], row[j + 1]), new[j]))
+        row = new
+    return row[-1]
+
+
+def warped_pairs(ids, others, p, q, at_once: int = 65536):
+    """(a, b, distance) for the pairs a <= b of two blocks of profiles, laid end to end, some at a time."""
+    ids, others = np.asarray(ids, dtype=np.int64), np.asarray(others, dtype=np.int64)
+    x = np.asarray(p, dtype=np.float64).reshape(len(ids), -1).T
+    y = np.asarray(q, dtype=np.float64).reshape(len(others), -1).T
+    i, j = np.nonzero(ids[:, None] <= others[None, :])
+    for k in range(0, len(i), at_once):
+        a, b = i[k : k + at_once], j[k : k + at_once]
+        yield ids[a], others[b], warped(x[:, a], y[:, b])

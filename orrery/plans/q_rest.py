@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from orrery.functions import vectors as V
+from orrery.operators import ranking as R
+from orrery.operators import sequences as Q
 from orrery.operators import spatial as S
 from orrery.plans.bridge import FACTS, events, facts
 from orrery.plans.q_ranking import _VEC, label_means, vectors
@@ -88,25 +91,37 @@ def projected_points(spark, d):
 
 @query("profile_graph")
 def profile_graph(spark, d):
-    """Similarity of daily profiles by dynamic time warping inside a declared block of users; sequential, so pandas."""
-    p = events(spark, d).groupBy("user_id", F.hour("ts").alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    p = p.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("h", "n"))).alias("s")).select("user_id", (F.col("user_id") % 10).alias("block"), F.col("s.n").alias("p"))
-    b = p.select(F.col("user_id").alias("other"), "block", F.col("p").alias("q"))
-    pairs = p.join(b, "block").where("user_id < other")
-
-    def warp(parts):
-        for g in parts:
-            out = []
-            for a, c, s, t in zip(g["user_id"], g["other"], g["p"], g["q"], strict=True):
-                row = [0.0] + [float("inf")] * len(t)
-                for x in s:
-                    last, row[0] = row[0], float("inf")
-                    for j, y in enumerate(t):
-                        last, row[j + 1] = row[j + 1], abs(float(x) - float(y)) + min(last, row[j + 1], row[j])
-                out.append((a, c, row[-1] / (len(s) + len(t))))
-            yield pd.DataFrame(out, columns=["a", "b", "distance"])
-
-    return pairs.select("user_id", "other", "p", "q").mapInPandas(warp, "a long, b long, distance double").where("distance < 1.5")
+    """Users whose daily profiles are alike: exp(-d / sigma) > 0.83, d by dynamic time warping of all pairs, a <= b.
+
+    Profiles are counts of the 24 hours; sigma is the deviation of the whole matrix of distances;
+    as in the reference every user has an edge to itself. Blocks of profiles meet
+    in two passes, the first for sigma (sums per pair of blocks), so that only the edges are kept.
+    """
+    hours = [F.count_if(F.hour("ts") == h).cast("double") for h in range(24)]
+    p = events(spark, d).where("user_id is not null").groupBy("user_id").agg(F.array(*hours).alias("p"))
+    n = p.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    left = R.blocks(p, "user_id")
+    pairs = left.crossJoin(left.select(F.col("user_id").alias("other"), F.col("p").alias("q")))
+
+    def sums(parts):
+        for part in parts:
+            for row in part.itertuples(index=False):
+                for _, _, gap in Q.warped_pairs(row.user_id, row.other, row.p, row.q):
+                    yield pd.DataFrame({"s": [gap.sum()], "ss": [(gap * gap).sum()]})
+
+    def alike(parts):
+        for part in parts:
+            for row in part.itertuples(index=False):
+                for a, b, gap in Q.warped_pairs(row.user_id, row.other, row.p, row.q):
+                    like = np.exp(-gap / row.sigma) if row.sigma > 0 else (a == b).astype(float)
+                    k = like > 0.83
+                    yield pd.DataFrame({"a": a[k], "b": b[k], "distance": gap[k] / 48, "similarity": like[k]})
+
+    total = pairs.mapInPandas(sums, "s double, ss double").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("s", "ss")])
+    mean = 2 * F.col("s") / (F.col("n") * F.col("n"))
+    sigma = F.sqrt(F.greatest(2 * F.col("ss") / (F.col("n") * F.col("n")) - mean * mean, F.lit(0.0)))
+    sigma = total.crossJoin(n).select(sigma.alias("sigma"))
+    return pairs.crossJoin(F.broadcast(sigma)).mapInPandas(alike, "a long, b long, distance double, similarity double")
 
 
 @query("cached_result", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")

@@ -78,3 +78,30 @@ def test_untyped_suppliers_are_candidates_of_every_customer(spark, tmp_path):
     spark.createDataFrame([(1, 0), (5, 1), (10, 1), (20, 3), (30, None), (12, 5)], "s_suppkey long, s_nationkey long").write.parquet(str(tmp_path / "supplier.parquet"))
     got = {r.k: r.candidates for r in run(spark, "type_constrained_candidates", str(tmp_path)).collect()}
     assert got == {1: 4, 2: 4, 3: 3, 4: 6}
+
+
+def test_profiles_of_all_users_are_compared(spark):
+    e = pd.read_parquet(f"{DATA}/events.parquet")
+    p = {u: np.bincount(g.dt.hour, minlength=24) for u, g in e.groupby("user_id").ts}
+    users = sorted(p)
+    d = np.zeros((len(users), len(users)))
+    for i, u in enumerate(users):
+        for j, v in enumerate(users):
+            cost = np.full((25, 25), np.inf)
+            cost[0, 0] = 0
+            for a in range(24):
+                for b in range(24):
+                    cost[a + 1, b + 1] = abs(int(p[u][a]) - int(p[v][b])) + min(cost[a, b], cost[a, b + 1], cost[a + 1, b])
+            d[i, j] = cost[24, 24]
+    like = np.exp(-d / d.std())
+    want = {(u, v): like[i, j] for i, u in enumerate(users) for j, v in enumerate(users) if u <= v and like[i, j] > 0.83}
+    got = {(r.a, r.b): r.similarity for r in run(spark, "profile_graph").collect()}
+    assert got == pytest.approx(want)
+
+
+def test_profile_threshold_keeps_pairs_of_any_residue(spark, tmp_path):
+    at = lambda u, h: (u, f"2024-01-01 {h:02d}:00:00")
+    rows = [at(u, h) for u in (1, 2, 13) for h in (1, 2, 3)] + [at(4, 9)] * 30
+    spark.createDataFrame(rows, "user_id long, ts string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r.a, r.b) for r in run(spark, "profile_graph", str(tmp_path)).collect()}
+    assert got == {(1, 2), (1, 13), (2, 13), (1, 1), (2, 2), (4, 4), (13, 13)}
