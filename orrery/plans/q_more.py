@@ -285,7 +285,7 @@ def reduced_vectors(spark, d):
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    v = vectors(spark, d, 16).select("vec_id", array_to_vector("e").alias("v"))
+    v = vectors(spark, d).select("vec_id", array_to_vector("e").alias("v"))
     out = PCA(k=3, inputCol="v", outputCol="p").fit(v).transform(v)
     return out.select("vec_id", F.round(V.norm(vector_to_array("p")), 4).alias("length"))
 

@@ -18,9 +18,8 @@ m AS (SELECT label, i, avg(e[i]) AS x FROM v, range(1, 9) r(i) GROUP BY 1, 2),
 rel AS (SELECT label, list(x ORDER BY i) AS r FROM m GROUP BY 1)"""
 
 
-def vectors(spark, d, n=8):
-    e = F.slice("embedding", 1, n)
-    return table(spark, d, "embeddings").select("vec_id", "label", V.doubles(e).alias("e"))
+def vectors(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", "label", V.doubles(F.col("embedding")).alias("e"))
 
 
 def label_means(v):

@@ -66,7 +66,7 @@ def pair_density(spark, d):
 def anchor_losses(spark, d):
     """Mean squared distance of a vector to its anchor."""
     v = vectors(spark, d)
-    return v.join(label_means(v), "label").select("vec_id", F.round(V.squared_distance(F.col("e"), F.col("r")) / 8, 4).alias("mse"))
+    return v.join(label_means(v), "label").select("vec_id", F.round(V.squared_distance(F.col("e"), F.col("r")) / F.size("e"), 4).alias("mse"))
 
 
 @query(

@@ -105,3 +105,19 @@ def test_profile_threshold_keeps_pairs_of_any_residue(spark, tmp_path):
     spark.createDataFrame(rows, "user_id long, ts string").write.parquet(str(tmp_path / "events.parquet"))
     got = {(r.a, r.b) for r in run(spark, "profile_graph", str(tmp_path)).collect()}
     assert got == {(1, 2), (1, 13), (2, 13), (1, 1), (2, 2), (4, 4), (13, 13)}
+
+
+def test_vectors_are_read_to_their_end(spark):
+    e = pd.read_parquet(f"{DATA}/embeddings.parquet")
+    x = np.array(e.embedding.tolist(), dtype=float)
+    mean = {k: x[(e.label == k).to_numpy()].mean(0) for k in set(e.label)}
+    for r in run(spark, "label_mean_vectors").collect():
+        assert r.mean == pytest.approx(mean[r.label], abs=6e-5)
+    want = {k: ((v - mean[c]) ** 2).mean() for k, v, c in zip(e.vec_id, x, e.label, strict=True)}
+    assert {r.vec_id: r.mse for r in run(spark, "anchor_losses").collect()} == pytest.approx(want, abs=6e-5)
+    assert {(len(r.fused), r.width) for r in run(spark, "fused_embeddings").collect()} == {(64, 128)}
+    three = {k: (v * mean[c] * mean[c + 1] * 2 + v * mean[c] * v + v * mean[c + 1] * v).sum() for k, v, c in zip(e.vec_id, x, e.label, strict=True) if c + 1 in mean}
+    assert {r.vec_id: r.score for r in run(spark, "temporal_scores").collect()} == pytest.approx(three, abs=6e-4)
+    axes = np.linalg.svd(x - x.mean(0), full_matrices=False)[2][:3]
+    lengths = dict(zip(e.vec_id, np.linalg.norm(x @ axes.T, axis=1), strict=True))
+    assert {r.vec_id: r.length for r in run(spark, "reduced_vectors").collect()} == pytest.approx(lengths, abs=6e-5)
