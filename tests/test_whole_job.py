@@ -121,3 +121,37 @@ def test_vectors_are_read_to_their_end(spark):
     axes = np.linalg.svd(x - x.mean(0), full_matrices=False)[2][:3]
     lengths = dict(zip(e.vec_id, np.linalg.norm(x @ axes.T, axis=1), strict=True))
     assert {r.vec_id: r.length for r in run(spark, "reduced_vectors").collect()} == pytest.approx(lengths, abs=6e-5)
+
+
+def test_paths_between_all_nodes(spark, tmp_path):
+    chain = [1]
+    while len(chain) < 12:
+        chain.append((chain[-1] * 7 + 3) % 100)
+    keys = sorted({3, 6, 9, 12, 45, 87, *chain})
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    edges = {k: (k * 7 + 3) % 100 for k in keys}
+    nodes = set(keys) | set(edges.values())
+    cheap = {}
+    for s in nodes:
+        at, total = s, 0.0
+        while (s, at) not in cheap:
+            cheap[s, at] = total
+            if at not in edges:
+                break
+            total += (at + edges[at]) % 7 + 1
+            at = edges[at]
+    got = {(r.source, r.node): r.cost for r in run(spark, "shortest_paths", str(tmp_path)).collect()}
+    assert got == cheap
+    near = {n: {n} for n in nodes}
+    for a, b in edges.items():
+        near[a].add(b)
+        near[b].add(a)
+    want = {}
+    for s in nodes:
+        reached = {s}
+        want[s, s] = 0
+        for k in (1, 2, 3):
+            fresh = {m for n in reached for m in near[n]} - reached
+            want.update({(s, n): k for n in fresh})
+            reached |= fresh
+    assert {(r.source, r.node): r.hops for r in run(spark, "k_hop_distances", str(tmp_path)).collect()} == want
