@@ -204,9 +204,9 @@ def encoded_columns(spark, d):
 SELECT a.user_id, a.rn AS i, b.rn AS j, CAST(abs(date_diff('second', a.ts, b.ts)) AS BIGINT) AS gap FROM s a JOIN s b ON a.user_id = b.user_id AND a.rn <= 5 AND b.rn <= 5""",
 )
 def sequence_pairs(spark, d):
-    """pairwise gaps inside the first five events of a user."""
+    """pairwise gaps of all events of a user."""
     n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    s = events(spark, d).select("user_id", F.unix_seconds(F.date_trunc("second", "ts")).alias("s"), n.cast("long").alias("i")).where("i <= 5")
+    s = events(spark, d).select("user_id", F.unix_seconds(F.date_trunc("second", "ts")).alias("s"), n.cast("long").alias("i"))
     b = s.select("user_id", F.col("s").alias("z"), F.col("i").alias("j"))
     return s.join(b, "user_id").select("user_id", "i", "j", F.abs(F.col("s") - F.col("z")).alias("gap"))
 

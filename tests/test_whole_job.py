@@ -155,3 +155,19 @@ def test_paths_between_all_nodes(spark, tmp_path):
             want.update({(s, n): k for n in fresh})
             reached |= fresh
     assert {(r.source, r.node): r.hops for r in run(spark, "k_hop_distances", str(tmp_path)).collect()} == want
+
+
+def test_sequences_take_every_event(spark):
+    e = pd.read_parquet(f"{DATA}/events.parquet").sort_values(["user_id", "ts", "event_id"])
+    last = {u: (g.event_id.tolist()[-6:] + [-1] * 6)[:6] for u, g in e.groupby("user_id")}
+    assert {r.user_id: r.padded for r in run(spark, "padded_sequences").collect()} == last
+    seconds = {u: g.ts.dt.floor("s").astype("datetime64[s]").astype("int64").tolist() for u, g in e.groupby("user_id")}
+    want = {(u, i, j): abs(a - b) for u, s in seconds.items() for i, a in enumerate(s, 1) for j, b in enumerate(s, 1)}
+    assert {(r.user_id, r.i, r.j): r.gap for r in run(spark, "sequence_pairs").collect()} == want
+
+
+def test_nearest_period_knows_every_order(spark, tmp_path):
+    day = lambda s: pd.Timestamp(s).to_pydatetime()
+    spark.createDataFrame([(1, day("2020-02-01")), (7, day("1995-02-01"))], "o_orderkey long, o_orderdate timestamp").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(day("2020-05-01"),)], "l_shipdate timestamp").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert [tuple(r) for r in run(spark, "nearest_period", str(tmp_path)).collect()] == [(2020 * 4 + 2, 2020 * 4 + 1)]
