@@ -1,4 +1,4 @@
-"""Vector expressions over array<double> columns."""
+"""Vector expressions over array<double> columns."""
 
 from __future__ import annotations
 

@@ -232,7 +232,7 @@ def nearest_earlier(spark, d):
 SELECT v.vec_id, round(list_sum(list_transform(list_zip(e, r, w), lambda z: z[1] * z[2] * z[3] + z[1] * z[2] * z[1] + z[2] * z[1] * z[3] + z[1] * z[3] * z[1])), 3) + 0.0 AS score FROM v JOIN rel USING (label) JOIN t USING (label)""",
 )
 def temporal_scores(spark, d):
-    """K4, K5: sums of three-way products over subject, relation, object and time."""
+    """K5: sums of three-way products over subject, relation, object and time."""
     v = vectors(spark, d)
     m = label_means(v)
     t = m.select((F.col("label") - 1).alias("label"), F.col("r").alias("w"))

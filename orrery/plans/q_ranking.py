@@ -63,7 +63,7 @@ SELECT h, t, round(-sqrt(list_sum(list_transform(list_zip(h_e, r, t_e), lambda z
 FROM c""",
 )
 def fact_scores(spark, d):
-    """Translation, product, complex and rotation scores of every head against every vector."""
+    """Translation, product, complex and rotation scores of every head against every vector."""
     q = R.queries(F.col("h_e"), F.col("r"))
     s = R.block_scores(
         _heads(spark, d).select("h", *[c.alias(n) for n, c in q.items()]),
@@ -80,7 +80,7 @@ def fact_scores(spark, d):
 
 @query("hyperbolic_scores")
 def hyperbolic_scores(spark, d):
-    """Scores on the Poincare ball of every head against every vector."""
+    """scores on the Poincare ball of every head against every vector."""
     q = V.mobius_add(V.exp_map_zero(F.col("h_e"), 1.0), V.exp_map_zero(F.col("r"), 1.0), 1.0)
     s = R.block_scores(
         _heads(spark, d).select("h", q.alias("score")), _tails(spark, d).select("t", V.exp_map_zero(F.col("t_e"), 1.0).alias("t_e")), {"score": R.ball_scores}
@@ -100,7 +100,7 @@ goal AS (SELECT h, s AS g FROM scored WHERE t = target)
 SELECT goal.h, CAST(1 + count(*) FILTER (WHERE ok.t <> ok.target AND ok.s >= g) AS BIGINT) AS rank FROM goal JOIN ok ON ok.h = goal.h GROUP BY 1""",
 )
 def filtered_ranks(spark, d):
-    """Pessimistic rank of every head among all vectors without known facts."""
+    """Pessimistic rank of every head among all vectors without known facts."""
     n = table(spark, d, "embeddings").count()
     target = (F.floor((F.col("h") * 7 + 10) % n / 5) * 5 + F.col("h") % 5) % n
     tails = _tails(spark, d)
@@ -219,7 +219,7 @@ def regression_metrics(spark, d):
   round(avg(greatest(0.25 * (y - f), -0.75 * (y - f))), 4) AS quantile FROM p GROUP BY 1""",
 )
 def loss_values(spark, d):
-    """Losses as averages."""
+    """M4: losses as averages."""
     return _pred(spark, d).groupBy("g").agg(*[F.round(c, 4).alias(n) for n, c in M.losses(F.col("f"), F.col("y")).items()])
 
 
@@ -240,7 +240,7 @@ def classification_metrics(spark, d):
 SELECT event_type, user_id, round(exp(x - max(x) OVER w) / sum(exp(x)) OVER w * exp(max(x) OVER w), 6) AS p FROM s WINDOW w AS (PARTITION BY event_type)""",
 )
 def softmax_candidates(spark, d):
-    """Softmax over a group's candidates: two aggregates joined back, no window over a hot group."""
+    """softmax over a group's candidates: two aggregates joined back, no window over a hot group."""
     s = table(spark, d, "events").groupBy("event_type", "user_id").agg((F.avg("value") / 100).alias("x"))
     m = s.groupBy("event_type").agg(F.max("x").alias("m"))
     z = s.join(m, "event_type").groupBy("event_type", "m").agg(F.sum(F.exp(F.col("x") - F.col("m"))).alias("z"))

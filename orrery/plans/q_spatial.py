@@ -235,7 +235,7 @@ def grid_neighbours(spark, d):
 
 @query("weighted_walks")
 def weighted_walks(spark, d):
-    """Weighted walks drawn by hash."""
+    """Weighted walks drawn by hash."""
     e = _supplier_edges(spark, d)
     both = G.both_ways(e).withColumn("weight", ((F.col("a") + F.col("b")) % 5 + 1).cast("double"))
     return G.walks(both, both.select(F.col("a").alias("node")).distinct(), 4)
