@@ -198,7 +198,7 @@ def main_text(page: str, weights: Weights) -> str:
     """Blocks of the best-scoring contiguous region, joined by line feeds.
 
     Words score ``weights.word``, tags minus their cost. If the page marks its article or main part, words outside it
-    score ``weights.outside``. One linear scan finds the region with the largest sum; ties go to the longer one.
+    score ``weights.outside``, and no region begins in the middle of it. One linear scan finds the region with the largest sum; ties go to the longer one.
     """
     blocks = page_blocks(page)
     marked = any(b.inside for b in blocks)
@@ -206,9 +206,10 @@ def main_text(page: str, weights: Weights) -> str:
     for i, b in enumerate(blocks):
         cost = sum(weights.tags.get(t, weights.other) for t in b.tags)
         gain = b.words * (weights.word if b.inside or not marked else weights.outside)
-        if marked and b.inside and i and blocks[i - 1].inside:
-            cost = 0.0 if cost > gain else cost
-        if total <= 0 or total - cost < 0:
+        within = marked and b.inside and i > 0 and blocks[i - 1].inside
+        if within:
+            cost = 0.0 if cost > gain else min(cost, total)
+        elif total <= 0 or total - cost < 0:
             start, total, cost = i, 0.0, 0.0
         total += gain - cost
         if total > best_sum or (total == best_sum and best_sum > 0):
