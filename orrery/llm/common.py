@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 
 #: White space as the contracts define it: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
-WORD = r"[^\x20\x09-\x0D]+"
+SPACE_CLASS = r"\x20\x09-\x0D"
+WORD = rf"[^{SPACE_CLASS}]+"
 
 _stored: list[tuple[SparkSession, str]] = []
 
@@ -69,6 +70,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def private(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Column names that ``df`` does not have, whatever the case: the given ones behind as many underscores as that takes."""
+    taken, head = {c.lower() for c in df.columns}, "_"
+    while any(head + n.lower() in taken for n in names):
+        head += "_"
+    return tuple(head + n for n in names)
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of non-space characters; 0 for null."""
     flat = F.btrim(F.translate(F.coalesce(text, F.lit("")), SPACE, " " * len(SPACE)))
