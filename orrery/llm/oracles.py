@@ -37,13 +37,16 @@ laid AS (
          row_number() OVER (ORDER BY t.source_rank, b.place, b.doc_id, b.size) AS rank
   FROM base b JOIN targets t ON b.source IS NOT DISTINCT FROM t.source),
 copies AS (
-  SELECT rank, size, total, epoch, CAST(epoch * source_size + through AS DOUBLE) / target AS finish
-  FROM laid, range(3) e(epoch) WHERE size > 0 AND target > 0),
+  SELECT rank, size, total, epoch, CAST(epoch * source_size + through AS DOUBLE) / target AS finish,
+         least(size, CAST(round(target) AS BIGINT) - (epoch * source_size + through - size)) AS due
+  FROM laid, range(3) e(epoch)
+  WHERE size > 0 AND target > 0 AND CAST(round(target) AS BIGINT) > epoch * source_size + through - size),
 queue AS (
-  SELECT rank, size, total, sum(size) OVER (ORDER BY finish, rank, epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running
+  SELECT rank, due, total,
+         coalesce(sum(due) OVER (ORDER BY finish, rank, epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM copies),
 taken AS (
-  SELECT rank, CAST(sum(size) AS BIGINT) AS taken FROM queue WHERE running <= total GROUP BY rank)
+  SELECT rank, CAST(sum(least(due, greatest(0, total - before))) AS BIGINT) AS taken FROM queue GROUP BY rank)
 SELECT l.doc_id, l.size, l.source_size, l.target, coalesce(t.taken, 0) AS taken
 FROM laid l LEFT JOIN taken t USING (rank)
 """
