@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import SPACE, stored
+from orrery.llm.common import SPACE, private, stored
 
 #: Fixed value: the characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -34,31 +34,56 @@ def _count(text: Column, characters: str) -> Column:
     return (F.char_length(text) - F.char_length(F.translate(text, characters, ""))).cast("long")
 
 
-def _covered(hashes: Column) -> Column:
-    """Words in windows whose hash occurs more than once, from the hashes of all windows in order."""
+def _sorted_windows(keys: Column) -> Column:
+    return F.sort_array(F.transform(keys, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+
+def _covered(pairs: Column) -> Column:
+    """Words in windows whose key occurs more than once, from all windows as (h, i) in order."""
     width = F.lit(WINDOW)
 
-    def among(pairs: Column) -> Column:
-        def at(pair: Column, k: Column) -> Column:
-            h = pair["h"]
-            same = F.coalesce(h == F.get(pairs, k - 1)["h"], F.lit(False)) | F.coalesce(
-                h == F.get(pairs, k + 1)["h"], F.lit(False)
-            )
-            return F.when(same, pair["i"])
-
-        return _let(
-            F.sort_array(F.array_compact(F.transform(pairs, at))),
-            lambda q: F.aggregate(
-                F.transform(q, lambda x, k: F.least(width, F.coalesce(F.get(q, k + 1) - x, width))),
-                F.lit(0),
-                lambda a, x: a + x,
-            ),
+    def at(pair: Column, k: Column) -> Column:
+        h = pair["h"]
+        same = F.coalesce(h == F.get(pairs, k - 1)["h"], F.lit(False)) | F.coalesce(h == F.get(pairs, k + 1)["h"], F.lit(False))
+        return F.when(same, pair["i"])
+
+    return _let(
+        F.sort_array(F.array_compact(F.transform(pairs, at))),
+        lambda q: F.aggregate(
+            F.transform(q, lambda x, k: F.least(width, F.coalesce(F.get(q, k + 1) - x, width))),
+            F.lit(0),
+            lambda a, x: a + x,
+        ),
+    )
+
+
+def _collide(pairs: Column, ws: Column) -> Column:
+    """Whether two neighbours of equal hash are windows of different words."""
+
+    def differ(pair: Column, k: Column) -> Column:
+        i, j = pair["i"], F.get(pairs, k + 1)["i"]
+        same = F.lit(True)
+        for n in range(WINDOW):
+            same = same & (F.get(ws, i + n) == F.get(ws, j + n))
+        return F.when(F.coalesce(pair["h"] == F.get(pairs, k + 1)["h"], F.lit(False)), ~same).otherwise(False)
+
+    return F.exists(F.transform(pairs, differ), lambda x: x)
+
+
+def _repeated_words(ws: Column) -> Column:
+    """Words of ``ws`` in windows found twice or more: by hashes whose words are compared, and should two windows ever
+    share a hash by chance, by the windows themselves."""
+    starts = F.sequence(F.lit(0), F.size(ws) - WINDOW)
+    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(ws, i + k) for k in range(WINDOW)]))
+    whole = F.transform(starts, lambda i: F.array_join(F.slice(ws, i + 1, WINDOW), " "))
+
+    def counted(h: Column) -> Column:
+        some = _let(
+            _sorted_windows(h), lambda pairs: F.when(_collide(pairs, ws), _let(_sorted_windows(whole), _covered)).otherwise(_covered(pairs))
         )
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(some)
 
-    repeated = _let(
-        F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), among
-    )
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(repeated)
+    return _let(hashes, counted)
 
 
 def text_statistics(text: Column) -> dict[str, Column]:
@@ -75,12 +100,9 @@ def text_statistics(text: Column) -> dict[str, Column]:
 
     def per_words(ws: Column) -> Column:
         n = F.size(ws)
-        windows = F.transform(
-            F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(ws, i + k) for k in range(WINDOW)])
-        )
         return F.struct(
             n.cast("long").alias("n"),
-            F.when(n > WINDOW, _let(windows, _covered)).otherwise(F.lit(0)).cast("long").alias("again"),
+            F.when(n > WINDOW, _repeated_words(ws)).otherwise(F.lit(0)).cast("long").alias("again"),
         )
 
     per_line = _let(
@@ -104,14 +126,16 @@ STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wor
 
 def with_statistics(docs: DataFrame, columns: list[str], prefix: str = "") -> DataFrame:
     """``columns`` of ``docs`` and the statistics of its text, their names after ``prefix``."""
-    made = docs.select(*[F.col(c) for c in columns], *[c.alias(f"_s{n}") for n, c in text_statistics(F.col("text")).items()])
+    own = text_statistics(F.col("text"))
+    names = dict(zip(own, private(docs, *own), strict=True))
+    made = docs.select(*[docs[c] for c in columns], *[c.alias(names[n]) for n, c in own.items()])
     of = {
-        "n_words": F.col("_s_words.n"),
-        "n_repeat_words": F.col("_s_words.again"),
-        "n_lines": F.col("_s_lines.n"),
-        "n_dup_lines": F.col("_s_lines.again"),
+        "n_words": F.col(names["_words"])["n"],
+        "n_repeat_words": F.col(names["_words"])["again"],
+        "n_lines": F.col(names["_lines"])["n"],
+        "n_dup_lines": F.col(names["_lines"])["again"],
     }
-    return made.select(*columns, *[of.get(n, F.col(f"_s{n}")).alias(prefix + n) for n in STATISTICS])
+    return made.select(*columns, *[(of[n] if n in of else F.col(names[n])).alias(prefix + n) for n in STATISTICS])
 
 
 def features(prefix: str = "") -> dict[str, Column]:
@@ -310,5 +334,6 @@ def judge_documents(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -
 def kept_documents(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the base rule and the decision list keep."""
     rules = learn_from(docs, labels, limit)
-    judged = with_statistics(docs, docs.columns, "_q_")
-    return judged.where(~base_failed("_q_") & verdict(rules, "_q_")).select(*docs.columns)
+    mark = private(docs, *STATISTICS)[0].removesuffix(STATISTICS[0])
+    judged = with_statistics(docs, docs.columns, mark)
+    return judged.where(~base_failed(mark) & verdict(rules, mark)).select(*docs.columns)
