@@ -7,14 +7,23 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import prefix_sums, stored
 
+#: Groups of equal texts are broadcast up to so many rows, otherwise joined by sort and merge, where the engine may split
+#: a hot one.
+BROADCAST_ROWS = 1_000_000
 #: A cut may move by this part of a shard's share so as not to part a group of equal texts.
 SNAP = 0.05
 
 
+def _joined(rows: DataFrame, groups: DataFrame, same: list[str], label: str) -> DataFrame:
+    groups = stored(groups, label)
+    few = groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(groups) if few else groups, same, "left")
+
+
 def shard_by_bytes(docs: DataFrame, shards: int = 16, snap: float = SNAP) -> DataFrame:
     """Give each document a shard 0..shards-1 and a gapless slot in it.
 
-    The documents stand in one global order: groups of equal texts by their bytes, largest first, then by text hash and
+    The documents stand in one global order: groups of equal texts by their bytes, largest first, then by md5 of the text and
     doc_id. Range partitions are summed, the totals of the partitions before give every row its byte offset, and the line
     is cut at equal byte targets; a row belongs where its middle lies. A group that a cut would part goes whole to one
     side if the cut need move by no more than ``snap`` of a share; otherwise its rows are cut like any others, so that
@@ -31,7 +40,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, snap: float = SNAP) -> Dat
             "doc_id",
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-            F.xxhash64(text).alias("group_key"),
+            F.md5(F.encode(text, "UTF-8")).alias("group_key"),
         ),
         "shard-sizes",
     )
@@ -41,7 +50,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, snap: float = SNAP) -> Dat
         .where("group_rows > 1")
     )
     same = ["group_key", "size", "text_crc32"]
-    rows = base.join(several, same, "left").withColumns(
+    rows = _joined(base, several, same, "shard-groups").withColumns(
         {
             "group_rows": F.coalesce("group_rows", F.lit(1)),
             "group_bytes": F.coalesce("group_bytes", F.col("size")),
@@ -52,7 +61,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, snap: float = SNAP) -> Dat
     total = line.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     share = max(total, 1) / shards
     firsts = line.where("group_rows > 1").groupBy(*same).agg(F.min("before_bytes").alias("group_start"))
-    line = line.join(firsts, same, "left").withColumn("group_start", F.coalesce("group_start", "before_bytes"))
+    line = _joined(line, firsts, same, "shard-firsts").withColumn("group_start", F.coalesce("group_start", "before_bytes"))
 
     at = lambda place: F.least(F.floor(place / share), F.lit(shards - 1)).cast("int")
     low, high = at(F.col("group_start")), at(F.col("group_start") + F.col("group_bytes") - 1)
