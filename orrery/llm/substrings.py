@@ -11,16 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.common import stored
-from orrery.llm.hashing import Prefix, mix
+from orrery.llm.hashing import Prefix
 
 #: Length in bytes of the strings that may not repeat.
 LENGTH = 200
 #: Length of the grams whose smallest hash anchors a window.
 GRAM = 48
-#: Anchors with more different surroundings than this are compared window by window instead of in one sort.
+#: Surroundings of one anchor sorted together. What exceeds it is split by the bytes that blocks of windows have in
+#: common, so that each part can be sorted; of single windows they have all bytes in common.
 CROWD = 64
-#: Windows of crowded anchors that are counted together first.
-BLOCK = 16
+BLOCKS = (16, 1)
+#: Windows of a text that are hashed at once.
+PIECE = 1 << 20
 #: Ids are broadcast up to so many rows, otherwise joined by sort and merge.
 BROADCAST_ROWS = 1_000_000
 #: Surroundings sorted at once.
@@ -191,77 +193,98 @@ def _ids_joined(df: DataFrame, key: str, ids: DataFrame, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, F.col(key) == F.col("id"), how)
 
 
+def _digest(raw: bytes, shape: int) -> bytes:
+    """What stands for a run's bytes where they are compared without being there: 128 bits that no two inputs are known
+    to share."""
+    return hashlib.blake2b(raw, digest_size=16, salt=shape.to_bytes(16, "little")).digest()
+
+
+def _pieces(data: np.ndarray, windows: int) -> Iterator[tuple[int, np.ndarray]]:
+    """A text in pieces of so many windows, each with the bytes its last window needs."""
+    for lo in range(0, max(1, len(data) - LENGTH + 1), windows):
+        yield lo, data[lo : lo + windows + LENGTH - 1]
+
+
+def _keys(texts: DataFrame) -> DataFrame:
+    """The anchors of all texts (key)."""
+    windows = PIECE
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                for _, part in _pieces(_bytes(text), windows):
+                    key = anchor_runs(Prefix(part), len(part))[0]
+                    yield pa.RecordBatch.from_arrays([_signed(key)], names=["key"])
+
+    return texts.select("text").mapInArrow(keys, "key long")
+
+
 def _runs(texts: DataFrame) -> DataFrame:
-    """All anchors with the windows they serve: key, content (hash of the run's bytes and shape), doc, first, windows, back."""
+    """All anchors with the windows they serve: key, content (digest of the run's bytes and shape), node, first, windows, back."""
+    windows = PIECE
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = _bytes(text)
-                if len(data) < LENGTH:
-                    continue
-                prefix = Prefix(data)
-                key, first, last, at = anchor_runs(prefix, len(data))
-                content = mix(prefix.of(first, last + LENGTH), 11) ^ mix(
-                    ((at - first) * 1024 + last - first).astype(np.uint64), 12
-                )
-                out.append((key, content, np.full(len(key), doc, np.int64), first, last - first + 1, at - first))
-            if out:
-                key, content, doc, first, windows, back = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "key": _signed(key),
-                        "content": _signed(content),
-                        "doc": pa.array(doc),
-                        "first": pa.array(first.astype(np.int32)),
-                        "windows": pa.array(windows.astype(np.int16)),
-                        "back": pa.array(back.astype(np.int16)),
-                    }
-                )
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for lo, part in _pieces(_bytes(text), windows):
+                    key, first, last, at = anchor_runs(Prefix(part), len(part))
+                    raw = part.tobytes()
+                    shape = (at - first) * 1024 + last - first
+                    content = [
+                        _digest(raw[i : j + LENGTH], k) for i, j, k in zip(first.tolist(), last.tolist(), shape.tolist(), strict=True)
+                    ]
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "key": _signed(key),
+                            "content": pa.array(content, pa.binary()),
+                            "node": pa.array(np.full(len(key), node, np.int64)),
+                            "first": pa.array((first + lo).astype(np.int64)),
+                            "windows": pa.array((last - first + 1).astype(np.int16)),
+                            "back": pa.array((at - first).astype(np.int16)),
+                        }
+                    )
 
-    return texts.mapInArrow(runs, "key long, content long, doc long, first int, windows short, back short")
+    return texts.select("node", "text").mapInArrow(runs, "key long, content binary, node long, first long, windows short, back short")
 
 
 def _surroundings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of wanted runs (key, doc, first, windows, back), read from the texts."""
-    asked = wanted.groupBy("doc").agg(
+    asked = wanted.groupBy("node").agg(
         F.collect_list(F.struct("key", "first", "windows", "back", "crowd")).alias("runs")
     )
-    asked = stored(asked.withColumnRenamed("doc", "id"), "substr-asked")
+    asked = stored(asked.withColumnRenamed("node", "id"), "substr-asked")
     chosen = _ids_joined(texts, "node", asked.select("id"), "left_semi")
     met = chosen.join(asked, F.col("node") == F.col("id")).select("node", "text", "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, text, runs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data = _bytes(text)
-                for r in runs:
-                    rows.append(
-                        (r["key"], doc, r["first"], r["windows"], r["back"], r["crowd"], data[r["first"] : r["first"] + r["windows"] - 1 + LENGTH].tobytes())
-                    )
-            if rows:
-                names = ("key", "doc", "first", "windows", "back", "crowd", "bytes")
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.bool_(), pa.binary())
+            for node, text, runs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                raw = _bytes(text).tobytes()
+                rows = [
+                    (r["key"], node, r["first"], r["windows"], r["back"], r["crowd"], raw[r["first"] : r["first"] + r["windows"] - 1 + LENGTH])
+                    for r in runs
+                ]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.bool_(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names)
+                    [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                    names=["key", "node", "first", "windows", "back", "crowd", "bytes"],
                 )
 
-    return met.mapInArrow(cut, "key long, doc long, first int, windows short, back short, crowd boolean, bytes binary")
+    return met.mapInArrow(cut, "key long, node long, first long, windows short, back short, crowd boolean, bytes binary")
 
 
-def _marked(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+def _marked(node: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(
-        {"doc": pa.array(doc), "start": pa.array(start.astype(np.int64)), "end": pa.array(end.astype(np.int64))}
+        {"node": pa.array(node), "start": pa.array(start.astype(np.int64)), "end": pa.array(end.astype(np.int64))}
     )
 
 
 def _sorted_groups(rows: DataFrame) -> DataFrame:
-    """Repeated windows among surroundings whose anchors have few of them: suffix sorts of whole groups."""
+    """Repeated windows among the surroundings (key, node, first, windows, back, bytes) of each key: suffix sorts of whole
+    groups."""
 
     def flush(group: list[tuple]) -> pa.RecordBatch | None:
-        keys, doc, first, windows, back, raw = zip(*group, strict=True)
+        keys, node, first, windows, back, raw = zip(*group, strict=True)
         data = np.frombuffer(b"".join(raw), np.uint8)
         begin = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
         names = np.unique(np.array(keys, np.int64), return_inverse=True)[1]
@@ -270,7 +293,7 @@ def _sorted_groups(rows: DataFrame) -> DataFrame:
         i, r = np.nonzero(again)
         start = np.array(first, np.int64)[i] + back[i] - r
         inside = (back[i] - r >= 0) & (back[i] - r < windows[i])
-        return _marked(np.array(doc, np.int64)[i][inside], start[inside], start[inside] + LENGTH) if inside.any() else None
+        return _marked(np.array(node, np.int64)[i][inside], start[inside], start[inside] + LENGTH) if inside.any() else None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -284,164 +307,154 @@ def _sorted_groups(rows: DataFrame) -> DataFrame:
         if group and (out := flush(group)) is not None:
             yield out
 
-    dealt = rows.select("key", "doc", "first", "windows", "back", "bytes").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(work, "doc long, start long, end long")
-
+    dealt = rows.select("key", "node", "first", "windows", "back", "bytes").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(work, "node long, start long, end long")
 
-def _two_hashes(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of each window of ``width`` bytes."""
-    mirrored = np.bitwise_xor(data[::-1], np.uint8(0x5A))
-    return Prefix(data).windows(width), Prefix(mirrored).windows(width)[::-1]
 
+def _split(rows: DataFrame, block: int) -> DataFrame:
+    """Surroundings cut into blocks of windows by their distance from the anchor, under keys of what a block has in common.
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Crowded anchors' surroundings in blocks of ``BLOCK`` windows, by distance from the anchor, with two hashes each."""
+    Windows that start ``block * b`` to ``block * b + block - 1`` bytes before the anchor all cover the same LENGTH - block
+    + 1 bytes, so surroundings that share one of them share those: their hash and b are the new key, their start the new
+    anchor.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            columns = [batch.column(i).to_pylist() for i in range(4)]
-            for doc, first, windows, back, raw in zip(*columns, batch.column(4), strict=True):
-                data = np.frombuffer(raw.as_py(), np.uint8)
-                for block in range((back - windows + 1) // BLOCK, back // BLOCK + 1):
-                    low, high = max(0, back - BLOCK * block - BLOCK + 1), min(windows - 1, back - BLOCK * block)
-                    part = data[low : high + LENGTH]
-                    x, y = _two_hashes(part, len(part))
-                    out.append((int(x.view(np.int64)[0]), int(y.astype(np.uint64).view(np.int64)[0]), doc, first + low, high - low + 1, part.tobytes()))
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            for key, node, first, windows, back, raw in zip(*columns, strict=True):
+                for b in range((back - windows + 1) // block, back // block + 1):
+                    far, near = min(back, block * b + block - 1), max(back - windows + 1, block * b)
+                    core = raw[back - block * b : back - block * b - block + 1 + LENGTH]
+                    low = back - far
+                    part = raw[low : back - near + LENGTH]
+                    name = hashlib.blake2b(core, digest_size=8, salt=(key & (1 << 64) - 1).to_bytes(8, "little") + b.to_bytes(8, "little", signed=True))
+                    new = far - block * b
+                    out.append(
+                        (int.from_bytes(name.digest(), "little", signed=True), _digest(part, new * 1024 + far - near), node, first + low, far - near + 1, new, part)
+                    )
             if out:
-                kinds = (*[pa.int64()] * 5, pa.binary())
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
-                    names=["x", "y", "doc", "start", "windows", "bytes"],
+                    names=["key", "content", "node", "first", "windows", "back", "bytes"],
                 )
 
-    return rows.select("doc", "first", "windows", "back", "bytes").mapInArrow(
-        work, "x long, y long, doc long, start long, windows long, bytes binary"
+    return rows.select("key", "node", "first", "windows", "back", "bytes").mapInArrow(
+        work, "key long, content binary, node long, first long, windows short, back short, bytes binary"
     )
 
 
-def _window_hashes(rows: DataFrame) -> DataFrame:
-    """Two hashes of each window of blocks (doc, start, bytes): x, y, doc, start."""
+def _repeats_of(runs: DataFrame, contents: DataFrame) -> DataFrame:
+    """Runs whose bytes another run has too, from end to end."""
+    again = contents.where("times > 1").select("key", "content")
+    end = (F.col("first") + F.col("windows") - 1 + LENGTH).alias("end")
+    return runs.join(again, ["key", "content"]).select("node", F.col("first").alias("start"), end)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc, first, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                x, y = _two_hashes(np.frombuffer(raw.as_py(), np.uint8), LENGTH)
-                out.append((x, y, np.full(len(x), doc, np.int64), first + np.arange(len(x), dtype=np.int64)))
-            if out:
-                x, y, doc, start = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield pa.RecordBatch.from_pydict({"x": _signed(x), "y": _signed(y), "doc": pa.array(doc), "start": pa.array(start)})
 
-    return rows.select("doc", "start", "bytes").mapInArrow(work, "x long, y long, doc long, start long")
+def _in_groups(contents: DataFrame) -> DataFrame:
+    """One run of each content of the keys that have several, and whether these are too many to sort together."""
+    several = contents.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return contents.join(several, "key").select("key", "one.*", (F.col("n") > CROWD).alias("crowd"))
 
 
 REMOVED = "n_bytes long, n_removed long, n_spans long, kept binary"
 
 
+def _kept(data: bytes, starts: list[int], ends: list[int]) -> tuple[int, int, bytes]:
+    """Removed bytes, maximal removed runs, and what is left of a text without the given spans."""
+    order = np.argsort(starts, kind="stable")
+    start, end = np.array(starts, np.int64)[order], np.maximum.accumulate(np.array(ends, np.int64)[order])
+    fresh = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
+    low, high = start[fresh], end[np.concatenate([fresh[1:] - 1, [len(end) - 1]])]
+    left, at = [], 0
+    for a, b in zip(low.tolist(), high.tolist(), strict=True):
+        left.append(data[at:a])
+        at = b
+    left.append(data[at:])
+    return int((high - low).sum()), len(low), b"".join(left)
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Every byte covered by a 200-byte string that also starts anywhere else goes; matches never cross documents.
 
-    1. Equal texts are one class; its members of 200 bytes or more go entirely, one of them stands for the rest.
-    2. Windows of 200 bytes are anchored at their smallest gram; equal windows have equal anchors. Anchors that occur once
-       are done with. Of the others, runs of windows equal in all their bytes (by hash) repeat as a whole.
-    3. Anchors that occur in different surroundings: the surrounding bytes are fetched and the suffixes at the anchors
-       are sorted by hash-compared mergesort; common extensions, verified byte by byte, name the windows that repeat.
-    4. Anchors with more than ``CROWD`` surroundings (common passages) are not gathered: blocks of their windows are
-       counted by two hashes, then the windows of one block of each content; both sum before the shuffle.
+    1. Windows of 200 bytes are anchored at their smallest gram; equal windows have equal anchors. Anchors that occur once
+       are done with.
+    2. The suffixes at the others are sorted per anchor by hash-compared mergesort, with the bytes of the windows that the
+       anchor serves; common extensions, verified byte by byte, name the windows that repeat.
+    3. Equal suffixes need no sorting among each other: runs with equal bytes from end to end repeat as a whole and are
+       sorted as one, and so are whole texts. They meet by digests that no two inputs are known to share (128 and 256
+       bits), so copies of a common passage are counted before they are shuffled, never gathered.
+    4. Anchors with more than ``CROWD`` different surroundings (borders of common passages) are split by more of their
+       bytes, like a radix pass, until each part can be sorted: blocks of 16 windows, then single windows.
 
-    Defined cases: a null text is empty; texts under 200 bytes stay whole; rows that repeat are equal texts and go; an id
-    stands for one text, a null id is replaced by a hash of the text inside; an empty table gives no rows; other columns
-    are ignored.
+    Defined cases: a null text is empty; texts under 200 bytes stay whole; rows that repeat are equal texts and go; rows
+    that share an id but not the text are documents of their own, also with a null id; an empty table gives no rows; other
+    columns are ignored. Memory: a task holds one text, and hashes of ``PIECE`` bytes of it at a time.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept (the bytes that are left).
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    named = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("node"),
-        text.alias("text"),
-    )
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text, "doc_id").alias("node"), text.alias("text"))
     narrow = stored(
-        named.select(
-            "node",
-            F.octet_length("text").alias("n"),
-            F.xxhash64("text").alias("x"),
-            F.xxhash64(F.lit(1), F.reverse("text")).alias("y"),
-        ).where(F.col("n") >= LENGTH),
-        "substr-texts",
-    )
-    classes = narrow.groupBy("x", "y", "n").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    copies = stored(
-        narrow.join(classes, ["x", "y", "n"]).select("node", (F.col("node") == F.col("rep")).alias("rep")), "substr-copies"
+        named.where(F.octet_length("text") >= LENGTH).select("node", F.unhex(F.sha2("text", 256)).alias("content")), "substr-texts"
     )
+    classes = narrow.groupBy("content").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    classes = stored(classes.select("content", "rep"), "substr-classes")
+    copies = narrow.join(classes, "content").select("node", (F.col("node") == F.col("rep")).alias("rep"))
+    copies = stored(copies, "substr-copies")
     spare = copies.where("not rep").select(F.col("node").alias("id")).distinct()
     long = named.select("node", "text").where(F.octet_length("text") >= LENGTH)
     texts = _ids_joined(long, "node", spare, "left_anti")
-    runs = _runs(texts)
-    often = runs.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
-    runs = stored(runs.join(often, "key"), "substr-runs")
+    often = _keys(texts).groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
+    often = stored(often, "substr-often")
+    runs = stored(_runs(texts).join(often, "key"), "substr-runs")
 
     contents = runs.groupBy("key", "content").agg(
-        F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "first", "windows", "back")).alias("one")
+        F.count(F.lit(1)).alias("times"), F.min(F.struct("node", "first", "windows", "back")).alias("one")
     )
     contents = stored(contents, "substr-contents")
-    whole = contents.where("times > 1").select("key", "content")
-    marks = runs.join(whole, ["key", "content"]).select(
-        "doc", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("windows") - 1 + LENGTH).cast("long").alias("end")
-    )
-    several = contents.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
-    wanted = contents.join(several, "key").select("key", "one.*", (F.col("crowd") > CROWD).alias("crowd"))
-    around = stored(_surroundings(texts, wanted), "substr-bytes")
-    sorted_ = _sorted_groups(around.where("not crowd"))
-    blocks = stored(_blocks(around.where("crowd")), "substr-blocks")
-    alike = blocks.groupBy("x", "y").agg(
-        F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "start", "windows", "bytes")).alias("one")
-    )
-    alike = stored(alike, "substr-alike")
-    crowded = blocks.join(alike.where("times > 1").select("x", "y"), ["x", "y"]).select(
-        "doc", "start", (F.col("start") + F.col("windows") - 1 + LENGTH).alias("end")
-    )
-    windows = stored(_window_hashes(alike.select("one.*")), "substr-windows")
-    twice = windows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    single = windows.join(twice, ["x", "y"]).select("doc", "start", (F.col("start") + LENGTH).alias("end"))
-    found = marks.unionByName(sorted_).unionByName(crowded).unionByName(single)
-    spans = found.groupBy("doc", "end").agg(F.min("start").alias("start")).groupBy("doc").agg(
+    found = [_repeats_of(runs, contents)]
+    around = stored(_surroundings(texts, _in_groups(contents)), "substr-bytes")
+    for block in (*BLOCKS, 0):
+        found.append(_sorted_groups(around.where("not crowd")))
+        crowd = around.where("crowd")
+        if not block or crowd.isEmpty():
+            break
+        parts = stored(_split(crowd, block), "substr-parts")
+        contents = parts.groupBy("key", "content").agg(
+            F.count(F.lit(1)).alias("times"), F.min(F.struct("node", "first", "windows", "back", "bytes")).alias("one")
+        )
+        contents = stored(contents, "substr-contents")
+        found.append(_repeats_of(parts, contents))
+        around = stored(_in_groups(contents), "substr-bytes")
+    marks = found[0]
+    for more in found[1:]:
+        marks = marks.unionByName(more)
+    spans = marks.groupBy("node", "end").agg(F.min("start").alias("start")).groupBy("node").agg(
         F.collect_list(F.struct("start", "end")).alias("spans")
     )
     full = copies.select("node").distinct().withColumn("all", F.lit(True))
-    spans = stored(
-        spans.withColumnRenamed("doc", "node").join(full, "node", "full").select(F.col("node").alias("id"), "spans", "all"),
-        "substr-spans",
-    )
+    spans = spans.join(full, "node", "full").select(F.col("node").alias("id"), "spans", "all")
+    spans = stored(spans, "substr-spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text, spans, everything in zip(
-                batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True
-            ):
-                data = _bytes(text)
-                n = len(data)
-                gone = np.zeros(n + 1, np.int64)
+            columns = batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()
+            for doc, text, marked, everything in zip(*columns, strict=True):
+                data = _bytes(text).tobytes()
                 if everything:
-                    gone[0], gone[n] = 1, -1
-                elif spans:
-                    np.add.at(gone, [s["start"] for s in spans], 1)
-                    np.add.at(gone, [s["end"] for s in spans], -1)
-                gone = np.cumsum(gone)[:n] > 0
-                edges = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(n > 0 and gone[0])
-                rows.append((doc, n, int(gone.sum()), edges, data[~gone].tobytes()))
+                    rows.append((doc, len(data), len(data), 1, b""))
+                    continue
+                at = marked.values.flatten()
+                rows.append((doc, len(data), *_kept(data, at[0].to_pylist(), at[1].to_pylist())))
             if rows:
-                doc, n, removed, edges, kept = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": pa.array(doc, pa.int64()),
-                        "n_bytes": pa.array(n, pa.int64()),
-                        "n_removed": pa.array(removed, pa.int64()),
-                        "n_spans": pa.array(edges, pa.int64()),
-                        "kept": pa.array(kept, pa.binary()),
-                    }
+                kinds = (*[pa.int64()] * 4, pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
                 )
 
     hit = _ids_joined(named, "node", spans.select("id"), "left_semi")
