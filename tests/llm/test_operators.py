@@ -56,11 +56,10 @@ def empty(spark):
 
 def test_mix_meets_targets(spark):
     df, rows = fixture(spark)
-    df = df.where("doc_id <> 4")  # longer than its source's target: whole documents cannot come near
     got = [r.asDict() for r in mixing.mix_sources(df).collect()]
     again = [r.asDict() for r in mixing.mix_sources(df).collect()]
     key = lambda r: r["doc_id"]
-    assert sorted(got, key=key) == sorted(again, key=key) and len(got) == len(rows) - 1
+    assert sorted(got, key=key) == sorted(again, key=key) and len(got) == len(rows)
     total = sum(r["size"] for r in got)
     assert sum(r["taken"] for r in got) <= total
     by = {}
@@ -70,13 +69,13 @@ def test_mix_meets_targets(spark):
     assert abs(sum(rs[0]["target"] for rs in by.values()) - total) < 1e-6
     for rs in by.values():
         assert rs[0]["target"] <= 3 * rs[0]["source_size"] + 1e-9
-        assert abs(sum(r["taken"] for r in rs) - rs[0]["target"]) <= max(r["size"] for r in rs) + 0.1 * rs[0]["target"]
+        assert abs(sum(r["taken"] for r in rs) - rs[0]["target"]) <= len(by)
     assert mixing.mix_sources(empty(spark)).count() == 0
 
 
 def test_mixed_documents_repeat_as_taken(spark):
     df, _ = fixture(spark)
-    want = {r.doc_id: r.copies for r in mixing.mix_sources(df).collect() if r.copies}
+    want = {r.doc_id: r.copies + (r.part > 0) for r in mixing.mix_sources(df).collect() if r.taken}
     out = mixing.mixed_documents(df)
     assert out.columns == df.columns
     assert {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()} == want
