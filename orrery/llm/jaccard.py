@@ -26,7 +26,7 @@ HOT = 1 << 16
 BUCKET = 1 << 18
 BUCKETS = 1 << 20
 #: Shingles that a task holds before it deals them to buckets, and texts (a place among them is two bytes).
-HELD = 1 << 21
+HELD = 1 << 20
 PLACES = 1 << 16
 #: A prefix grows by this part of itself, and by a part as large again for every factor of 16 in its estimated cost.
 GROWTH = 0.25
@@ -35,7 +35,7 @@ BROADCAST_ROWS = 1_000_000
 #: Leaders that a class is verified against before pairs are made, and best pairs verified before the others.
 LEADERS = 2
 #: Classes compared with one leader in one task.
-CHUNK = 200
+CHUNK = 100
 #: Classes of one token compared with each other in one task; longer lists are cut, and every two cuts meet once.
 TILE = 4096
 #: Pairs of sketches compared at once.
@@ -248,9 +248,10 @@ def _candidates(counted: DataFrame, width: int) -> DataFrame:
 def sketch(s: np.ndarray) -> bytes:
     """Parities of hashed places: shingles that two sets do not share change one bit of the difference each at most.
 
-    Twice as many bits as shingles, a power of two; the sketch of half as many bits is the exclusive or of the halves.
+    A power of two of bits, at least as many as shingles, of small sets twice as many; the sketch of half as many bits is
+    the exclusive or of the halves.
     """
-    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    bits = max(64, 1 << ((2 * len(s) if len(s) <= 512 else len(s)) - 1).bit_length())
     at = (mix(s, 9) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -392,17 +393,19 @@ def _near(group: np.ndarray, n: np.ndarray, tile: np.ndarray, sketches: list[byt
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 3
 
 
-def _open_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs of classes (token, class, group, n, more, sketch) that still lie in different groups and share enough tokens.
+def _open_pairs(lists: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Pairs of classes (token, class, group) that still lie in different groups and share enough tokens.
 
     A list longer than ``TILE`` is cut, and every two cuts meet in one task. Pairs that the sketches rule out never leave
     the task; the others leave it once for each token that they share, so their number can be asked for.
     """
     sizes = lists.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("tiles"))
     cut = lists.join(sizes, "token").withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
-    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "token", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), "tile", "class", "group", "n", "more", "sketch"
+    cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "token", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), "tile", "class", "group"
     )
+    met = cells.join(prefixes.select("class", "n", "more", "sketch"), "class")
+    met = met.select("token", "t", "u", "tile", "class", "group", "n", "more", "sketch")
     met = met.repartition("token", "t", "u").sortWithinPartitions("token", "t", "u")
 
     def compare(cell: tuple, rows: list[tuple]) -> list[np.ndarray]:
@@ -458,8 +461,7 @@ def _linked_classes(prefixes: DataFrame) -> DataFrame:
     found = stored(connected_components(links, "jaccard-stars"), "jaccard-groups")
     named = grouped(postings.select("token", "class"), "class", "group")
     mixed = named.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("token")
-    lists = named.join(mixed, "token").join(prefixes.select("class", "n", "more", "sketch"), "class")
-    rest = stored(_open_pairs(lists), "jaccard-pairs")
+    rest = stored(_open_pairs(named.join(mixed, "token"), prefixes), "jaccard-pairs")
     place = F.row_number().over(W.partitionBy("class").orderBy(F.desc("room"), "leader"))
     tried = rest.withColumn("place", place).where(F.col("place") <= LEADERS).select("class", "leader")
     links = stored(links.unionByName(_verified(prefixes, tried)), "jaccard-links")
