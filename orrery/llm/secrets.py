@@ -7,6 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.common import private, stored
+
+#: Candidates of the index are broadcast up to so many rows, otherwise joined by sort and merge.
+BROADCAST_ROWS = 1_000_000
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -211,8 +216,10 @@ def _spans(text: Column, rule: Rule, place: int) -> Column:
     return F.when(~F.rlike(text, pattern), none).otherwise(F.aggregate(lengths, start, step, lambda a: a["out"]))
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, columns: list[str] | None = None) -> DataFrame:
-    """Spans of secrets in every whole text: ``columns`` (all by default) and ``_spans``.
+def find_secrets(
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, columns: list[str] | None = None, name: str = "_spans"
+) -> DataFrame:
+    """Spans of secrets in every whole text: ``columns`` (all by default) and ``_spans`` (or ``name``).
 
     ``_spans`` is an array of (start, place, finish) by start, then by the place of the kind in ``rules``; positions are
     code points, the end is exclusive. Rules with mandatory trigrams are verified on the candidates of the index; the
@@ -227,24 +234,24 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, columns: list
     trigrams = sorted({t for r in indexed for a in queries[r.kind] for t in a})
     text = F.coalesce(F.col("text"), F.lit(""))
     made = docs
-    kinds = F.col("_kinds")
+    key, may = private(docs, "key", "kinds")
+    kinds = F.col(may)
     if indexed:
-        found = candidates(
-            index_postings(docs.where("doc_id is not null"), "doc_id", trigrams).withColumnRenamed("doc_id", "_key"),
-            "_key",
-            indexed,
-        ).withColumnRenamed("kinds", "_kinds")
-        made = docs.join(found, docs["doc_id"] == found["_key"], "left")
+        own = docs.where("doc_id is not null").select("doc_id", "text")
+        found = candidates(index_postings(own, "doc_id", trigrams), "doc_id", indexed).toDF(key, may)
+        found = stored(found, "secret-candidates")
+        few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        made = docs.join(F.broadcast(found) if few else found, docs["doc_id"] == F.col(key), "left")
     none = F.array().cast("array<struct<start:int,place:int,finish:int>>")
     each = [
         F.when(
-            F.col("doc_id").isNull() | F.coalesce(F.array_contains(kinds, r.kind), F.lit(False)), _spans(text, r, i)
+            docs["doc_id"].isNull() | F.coalesce(F.array_contains(kinds, r.kind), F.lit(False)), _spans(text, r, i)
         ).otherwise(none)
         if r in indexed
         else _spans(text, r, i)
         for i, r in enumerate(rules)
     ]
-    return made.select(*[docs[c] for c in columns], F.sort_array(F.concat(*each)).alias("_spans"))
+    return made.select(*[docs[c] for c in columns], F.sort_array(F.concat(*each)).alias(name))
 
 
 def listed(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -280,6 +287,7 @@ def redacted(text: Column, spans: Column, mask: str = "[secret]") -> Column:
 
 def without_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with the secrets in its texts masked; rows, other columns and texts without secrets stay (null included)."""
-    found = find_secrets(docs, rules)
-    masked = F.when(F.size("_spans") == 0, F.col("text")).otherwise(redacted(F.col("text"), F.col("_spans")))
+    (spans,) = private(docs, "spans")
+    found = find_secrets(docs, rules, name=spans)
+    masked = F.when(F.size(spans) == 0, F.col("text")).otherwise(redacted(F.col("text"), F.col(spans)))
     return found.select(*[masked.alias("text") if c == "text" else F.col(c) for c in docs.columns])
