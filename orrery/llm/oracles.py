@@ -147,3 +147,67 @@ roots AS (SELECT node AS doc_id, min(root) AS root FROM reach GROUP BY node)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(root, doc_id) AS component_id
 FROM sets LEFT JOIN roots USING (doc_id)
 """
+
+# CRC-32 by its definition: eight steps per byte over the reflected polynomial.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(n), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+  lambda c, x: xor(c >> 8, list_reduce(list_prepend(xor(c, x) & 255, range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END))), 4294967295)"""
+
+ORACLES["op3_sharding"] = f"""
+WITH base AS (
+  SELECT doc_id, CAST(n + 1 AS BIGINT) AS size, CAST({_CRC32} AS BIGINT) AS crc, key
+  FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n, md5(coalesce(text, '')) AS key FROM documents)),
+grouped AS (
+  SELECT *, sum(size) OVER (PARTITION BY key, size, crc) AS group_bytes, count(*) OVER (PARTITION BY key, size, crc) AS group_rows FROM base),
+line AS (
+  SELECT *, sum(size) OVER w - size AS before, row_number() OVER w - 1 AS rank, sum(size) OVER () / 16.0::DOUBLE AS share
+  FROM grouped WINDOW w AS (ORDER BY group_bytes DESC, key, size, crc, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+placed AS (
+  SELECT *, CASE WHEN group_rows > 1 THEN min(before) OVER (PARTITION BY key, size, crc) ELSE before END AS first FROM line),
+cuts AS (
+  SELECT *, least(floor(first / share), 15) AS low, least(floor((first + group_bytes - 1) / share), 15) AS high FROM placed),
+cut AS (
+  SELECT *, CAST(CASE WHEN low = high THEN low WHEN high = low + 1 AND high * share - first <= 0.05 * share THEN high
+    WHEN high = low + 1 AND first + group_bytes - high * share <= 0.05 * share THEN low
+    ELSE least(floor((before + size / 2.0) / share), 15) END AS INT) AS shard FROM cuts)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard, rank - min(rank) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard FROM cut
+"""
+
+ORACLES["op6_suffix_array_dedup"] = r"""
+WITH raw AS (
+  SELECT k, doc_id, hex(encode(t)) AS h, strlen(t) AS n FROM (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents)),
+windows AS (
+  SELECT k, i, md5(substr(h, CAST(2 * i + 1 AS BIGINT), 400)) AS w FROM (SELECT k, h, unnest(range(n - 199)) AS i FROM raw WHERE n >= 200)),
+again AS (
+  SELECT w FROM windows GROUP BY 1 HAVING count(*) > 1),
+hits AS (
+  SELECT k, i AS a, i + 200 AS b FROM windows SEMI JOIN again USING (w)),
+runs AS (
+  SELECT k, a, b, sum(fresh) OVER (PARTITION BY k ORDER BY a) AS run
+  FROM (SELECT *, CASE WHEN a <= lag(b) OVER (PARTITION BY k ORDER BY a) THEN 0 ELSE 1 END AS fresh FROM hits)),
+gone AS (
+  SELECT k, run, min(a) AS a, max(b) AS b FROM runs GROUP BY 1, 2),
+gaps AS (
+  SELECT k, b AS a, lead(a) OVER (PARTITION BY k ORDER BY a) AS b FROM gone UNION ALL SELECT k, 0, min(a) FROM gone GROUP BY 1),
+kept AS (
+  SELECT g.k, string_agg(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (coalesce(b, n) - a) AS BIGINT)), '' ORDER BY a) AS h
+  FROM gaps g JOIN raw USING (k) GROUP BY 1),
+sums AS (
+  SELECT k, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM gone GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept.h, raw.h))) AS kept_sha256
+FROM raw LEFT JOIN sums USING (k) LEFT JOIN kept USING (k)
+"""
+
+# Says what the main text of the tables' pages is, which all mark it; the operator reads other pages too.
+ORACLES["op10_html_extraction"] = r"""
+WITH article AS (
+  SELECT page_id, url, regexp_extract(html, '<article>(.*?)</article>', 1, 's') AS a FROM pages),
+blocks AS (
+  SELECT page_id, generate_subscripts(s, 1) AS i, unnest(s) AS b
+  FROM (SELECT page_id, regexp_split_to_array(regexp_replace(a, '<br>', ' ', 'g'), '</?(?:h1|p)>') AS s FROM article)),
+clean AS (
+  SELECT page_id, i, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(b, '<[^>]*>', '', 'g'),
+         '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS b FROM blocks)
+SELECT p.page_id, p.url, coalesce(t, '') AS text, CAST(length(coalesce(t, '')) AS BIGINT) AS n_chars
+FROM pages p LEFT JOIN (SELECT page_id, string_agg(b, chr(10) ORDER BY i) AS t FROM clean WHERE b <> '' GROUP BY 1) USING (page_id)
+"""
