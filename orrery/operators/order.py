@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.sources.shared import cut
+
 
 def global_rank(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
     """A gapless rank from 0 in a global order, without a window over the whole table.
@@ -17,7 +19,7 @@ def global_rank(df: DataFrame, order: Sequence[Column | str], name: str) -> Data
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     dealt = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    dealt = dealt.checkpoint() if _checkpoints(df) else dealt.persist()
+    dealt = cut(dealt)
     up_to = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     before = dealt.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(up_to), F.lit(0)).alias("_b"))
     inside = W.partitionBy("_range").orderBy(*order)
@@ -29,10 +31,6 @@ def global_rank(df: DataFrame, order: Sequence[Column | str], name: str) -> Data
     )
 
 
-def _checkpoints(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext.getCheckpointDir() is not None
-
-
 def dense_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
     """Sorted distinct keys numbered from 0, joined back."""
     keys = global_rank(df.select(key).where(F.col(key).isNotNull()).distinct(), [key], name)
@@ -52,7 +50,7 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, nam
 def chronological_split(df: DataFrame, order: Sequence[Column | str], train: float, valid: float) -> DataFrame:
     """train, valid, test in order; sizes round half to even, the rest is test."""
     ranked = global_rank(df, order, "_at")
-    n = df.count()
+    n = ranked.count()
     a, b = round(n * train), round(n * valid)
     part = F.when(F.col("_at") < a, "train").when(F.col("_at") < a + b, "valid").otherwise("test")
     return ranked.withColumn("part", part).drop("_at")

@@ -4,26 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import json
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orrery.sources.shared import shared_dir
 from orrery.sources.sinks import write_safely
 from orrery.sources.tables import exists
 
-_local: list[str] = []
-
 
 def cached(spark: SparkSession, parameters: dict, build: Callable[[], DataFrame]) -> DataFrame:
     """The stored table of ``parameters`` in this application, built and written as a whole if it is not there yet."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if not _local:
-            _local.append(f"file://{tempfile.mkdtemp()}")
-        base = _local[0]
     key = json.dumps({"app": spark.sparkContext.applicationId, **parameters}, sort_keys=True)
-    path = f"{base.rstrip('/')}/cache-{hashlib.sha256(key.encode()).hexdigest()[:32]}.parquet"
+    path = f"{shared_dir(spark)}/cache-{hashlib.sha256(key.encode()).hexdigest()[:32]}.parquet"
     if not exists(spark, path):
         write_safely(build(), path)
     return spark.read.parquet(path)
