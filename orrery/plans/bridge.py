@@ -23,11 +23,14 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def facts(spark: SparkSession, d: str) -> DataFrame:
-    """Temporal facts: who bought what, from order to shipping date, whichever comes first."""
+def facts(spark: SparkSession, d: str, distinct: bool = False) -> DataFrame:
+    """Temporal facts: who bought what, from order to shipping date, whichever comes first; with ``distinct`` each once,
+    found by the keys before they become names."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("o"))
     li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus", F.to_date("l_shipdate").alias("s"))
     j = li.join(o, li["l_orderkey"] == o["o_orderkey"])
+    if distinct:
+        j = j.select("o_custkey", "l_returnflag", "l_linestatus", "l_partkey", F.least("o", "s").alias("o"), F.greatest("o", "s").alias("s")).distinct()
     return j.select(
         F.concat_ws("::", F.lit("customer"), F.col("o_custkey").cast("string")).alias("head"),
         F.concat("l_returnflag", "l_linestatus").alias("relation"),

@@ -9,6 +9,7 @@ from orrery.operators import kg as K
 from orrery.operators import order as O
 from orrery.plans.bridge import FACTS, facts
 from orrery.registry import query
+from orrery.sources.shared import cut
 from orrery.sources.tables import table
 
 _STATIC = """static AS (
@@ -21,7 +22,8 @@ _QUADS = f"""{FACTS}, {_STATIC}, quads AS (
 
 
 def quads(spark, d):
-    return K.union_facts(facts(spark, d), K.static_facts(spark, d))
+    """Facts of all emitters, each once: no two emitters share a relation, so each one's own duplicates are all there are."""
+    return facts(spark, d, distinct=True).unionByName(K.union_facts(K.static_facts(spark, d)))
 
 
 @query(
@@ -33,12 +35,12 @@ FROM quads GROUP BY 1""",
 )
 def kg_statistics(spark, d):
     """Facts of all emitters, deduplicated, counted per relation."""
-    return quads(spark, d).groupBy("relation").agg(
-        F.count(F.lit(1)).alias("facts"),
-        F.countDistinct("head").alias("heads"),
-        F.countDistinct("tail").alias("tails"),
-        F.count_if(F.col("start_date").isNull()).alias("timeless"),
-        F.count_if(F.col("start_date").isNotNull()).alias("temporal"),
+    q = cut(quads(spark, d).select("relation", "head", "tail", F.col("start_date").isNull().cast("long").alias("timeless")))
+    heads = q.groupBy("relation", "head").agg(F.count(F.lit(1)).alias("n"), F.sum("timeless").alias("timeless"))
+    heads = heads.groupBy("relation").agg(F.sum("n").alias("facts"), F.count(F.lit(1)).alias("heads"), F.sum("timeless").alias("timeless"))
+    tails = q.select("relation", "tail").distinct().groupBy("relation").agg(F.count(F.lit(1)).alias("tails"))
+    return heads.join(tails, "relation").select(
+        "relation", "facts", "heads", "tails", "timeless", (F.col("facts") - F.col("timeless")).alias("temporal")
     )
 
 
@@ -51,7 +53,7 @@ FROM quads q JOIN e h ON q.head = h.entity JOIN e t ON q.tail = t.entity JOIN r
 )
 def kg_encoded(spark, d):
     """Dictionaries in code point order, three joins."""
-    return K.encoded(quads(spark, d))
+    return K.encoded(cut(quads(spark, d)))
 
 
 @query(
@@ -71,14 +73,20 @@ def kg_split(spark, d):
 
 @query(
     "kg_filters",
-    f"""WITH {_QUADS}, twice AS (SELECT head, relation, tail FROM quads UNION ALL SELECT tail, relation || '_r', head FROM quads)
-SELECT head, relation, list_sort(list(DISTINCT tail)) AS tails FROM twice GROUP BY 1, 2""",
+    f"""WITH {_QUADS}, twice AS (SELECT head, relation, tail FROM quads UNION SELECT tail, relation || '_r', head FROM quads)
+SELECT head, relation, tail, row_number() OVER (PARTITION BY head, relation ORDER BY tail) - 1 AS place FROM twice""",
 )
 def kg_filters(spark, d):
-    """Sorted answer sets of every (head, relation), reverse facts included."""
+    """Sorted answer sets of every (head, relation), reverse facts included.
+
+    A row per answer with its place in the set: a nation's customers are no list that one task could hold. Places come
+    from one global order, minus the place of the set's first row.
+    """
     q = quads(spark, d).select("head", "relation", "tail")
     back = q.select(F.col("tail").alias("head"), F.concat("relation", F.lit("_r")).alias("relation"), F.col("head").alias("tail"))
-    return q.unionByName(back).groupBy("head", "relation").agg(F.array_sort(F.collect_set("tail")).alias("tails"))
+    ranked = O.global_rank(q.unionByName(back).distinct(), ["head", "relation", "tail"], "rank")
+    first = ranked.groupBy("head", "relation").agg(F.min("rank").alias("first"))
+    return ranked.join(first, ["head", "relation"]).select("head", "relation", "tail", (F.col("rank") - F.col("first")).alias("place"))
 
 
 @query(
@@ -95,13 +103,16 @@ def relation_pair_lags(spark, d):
     a, b = t.alias("a"), t.alias("b")
     lag = F.datediff("a.day", "b.day")
     j = a.join(b, (F.col("a.head") == F.col("b.head")) & ((F.col("a.relation") != F.col("b.relation")) | (F.col("a.day") != F.col("b.day"))))
-    j = j.select(F.col("a.relation").alias("r1"), F.col("b.relation").alias("r2"), lag.cast("double").alias("lag"))
+    j = j.groupBy(F.col("a.relation").alias("r1"), F.col("b.relation").alias("r2"), lag.alias("lag")).agg(F.count(F.lit(1)).alias("k"))
+    x, k = F.col("lag").cast("double"), F.col("k")  # lags are whole days, so a few thousand counts hold all pairs
+    total = F.sum("k")
+    mean = F.sum(x * k) / total
     return j.groupBy("r1", "r2").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.avg("lag"), 3).alias("mean"),
-        F.when(F.count(F.lit(1)) >= 50, F.round(F.greatest(F.var_pop("lag"), F.lit(0.01)), 2)).otherwise(-1000.0).alias("var"),
-        F.round(F.percentile("lag", 0.1), 3).alias("lo"),
-        F.round(F.percentile("lag", 0.9), 3).alias("hi"),
+        total.alias("n"),
+        F.round(mean, 3).alias("mean"),
+        F.when(total >= 50, F.round(F.greatest(F.sum(x * x * k) / total - mean * mean, F.lit(0.01)), 2)).otherwise(-1000.0).alias("var"),
+        F.round(F.percentile(x, 0.1, k), 3).alias("lo"),
+        F.round(F.percentile(x, 0.9, k), 3).alias("hi"),
     )
 
 
