@@ -63,6 +63,74 @@ def givens(rotation: Column, x: Column) -> Column:
     return F.flatten(F.transform(pairs, turn))
 
 
+def givens_reflection(mirror: Column, x: Column) -> Column:
+    """Reflect pairs of ``x`` by the normalised pairs of ``mirror`` (RefE)."""
+    pairs = F.sequence(F.lit(0), (F.size(x) / 2).cast("int") - 1)
+
+    def turn(i: Column) -> Column:
+        c, s = F.get(mirror, 2 * i), F.get(mirror, 2 * i + 1)
+        n = F.greatest(F.sqrt(c * c + s * s), F.lit(1e-15))
+        a, b = F.get(x, 2 * i), F.get(x, 2 * i + 1)
+        return F.array((c * a + s * b) / n, (s * a - c * b) / n)
+
+    return F.flatten(F.transform(pairs, turn))
+
+
+def attended(candidates: list[Column], context: Column) -> Column:
+    """Candidates summed by the softmax of their scaled products with a context (AttE, AttH, GIE)."""
+
+    def weighed(s: Column) -> Column:
+        names = [f"c{i}" for i in range(len(candidates))]
+        scale = F.sqrt(F.size(s["x"]).cast("double"))
+        logits = F.array(*[dot(s["x"], s[n]) / scale for n in names])
+        return let(
+            F.struct(s.alias("s"), let(logits, lambda a: F.transform(a, lambda v: F.exp(v - F.array_max(a)))).alias("e")),
+            lambda t: let(
+                total(t["e"]),
+                lambda z: F.transform(
+                    F.sequence(F.lit(0), F.size(t["s"]["x"]) - 1),
+                    lambda i: sum((F.get(t["s"][n], i) * F.get(t["e"], k) for k, n in enumerate(names)), F.lit(0.0)) / z,
+                ),
+            ),
+        )
+
+    return let(F.struct(context.alias("x"), *[c.alias(f"c{i}") for i, c in enumerate(candidates)]), weighed)
+
+
+def unit_phases(r: Column) -> Column:
+    """Complex numbers (real half, imaginary half) scaled to modulus 1 (RotatE)."""
+    half = (F.size(r) / 2).cast("int")
+    index = F.sequence(F.lit(0), half - 1)
+    size = lambda i: F.sqrt(F.get(r, i) * F.get(r, i) + F.get(r, i + half) * F.get(r, i + half))
+    return F.concat(F.transform(index, lambda i: F.get(r, i) / size(i)), F.transform(index, lambda i: F.get(r, i + half) / size(i)))
+
+
+def moduli(v: Column) -> Column:
+    """Sizes of complex numbers kept as (real half, imaginary half)."""
+    half = (F.size(v) / 2).cast("int")
+    return F.transform(F.sequence(F.lit(0), half - 1), lambda i: F.sqrt(F.get(v, i) * F.get(v, i) + F.get(v, i + half) * F.get(v, i + half)))
+
+
+def projected(x: Column, c: float) -> Column:
+    """A point pulled back into the Poincare ball of curvature c if it lies too close to its border or beyond."""
+    most = (1 - 1e-5) / c**0.5
+
+    def pull(v: Column) -> Column:
+        return let(F.greatest(norm(v), F.lit(1e-15)), lambda n: F.when(n > most, F.transform(v, lambda e: e / n * most)).otherwise(v))
+
+    return let(x, pull)
+
+
+def off_plane(x: Column, w: Column) -> Column:
+    """What is left of x without its part along the normal w (HyTE)."""
+
+    def off(s: Column) -> Column:
+        k = dot(s["x"], s["w"]) / dot(s["w"], s["w"])
+        return let(F.struct(s.alias("s"), k.alias("k")), lambda t: F.zip_with(t["s"]["x"], t["s"]["w"], lambda a, b: a - t["k"] * b))
+
+    return let(F.struct(x.alias("x"), w.alias("w")), off)
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 

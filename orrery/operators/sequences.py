@@ -18,6 +18,45 @@ def samples(df: DataFrame, key: str, time: str, value: str, steps_in: int, steps
     return out.where((F.size("x") == steps_in) & (F.size("y") == steps_out))
 
 
+def split_samples(df: DataFrame, key: str, time: str, value: str, steps_in: int, steps_out: int, train: float) -> DataFrame:
+    """Samples by the other generator (W2): one fewer per key than there are windows, the train part's size cut off."""
+    w = W.partitionBy(key).orderBy(time)
+    n, i = F.count(F.lit(1)).over(W.partitionBy(key)) - (steps_in + steps_out), F.row_number().over(w) - 1
+    x = F.collect_list(value).over(w.rowsBetween(0, steps_in - 1))
+    y = F.collect_list(value).over(w.rowsBetween(steps_in, steps_in + steps_out - 1))
+    out = df.select(key, i.cast("long").alias("i"), x.alias("x"), y.alias("y"), n.alias("n")).where("i < n")
+    return out.withColumn("part", F.when(F.col("i") < F.floor(F.col("n") * train), "train").otherwise("test")).drop("n")
+
+
+def offset_samples(df: DataFrame, key: str, time: str, value: str, offsets: dict[str, list[int]]) -> DataFrame:
+    """Rows with the values that lie the given offsets earlier, a list per name, smallest offset first.
+
+    One equi-join on shifted time for all offsets; a row that lacks any value is dropped.
+    """
+    flat = [(n, k) for n, ks in offsets.items() for k in ks]
+    listed = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("off")) for n, k in flat])
+    asked = df.select(key, time, value, F.explode(listed).alias("o")).withColumn("_at", F.col(time) - F.col("o.off"))
+    there = df.select(F.col(key).alias("_k"), F.col(time).alias("_t"), F.col(value).alias("_v"))
+    met = asked.join(there, (F.col(key) == F.col("_k")) & (F.col("_at") == F.col("_t")))
+    found = met.groupBy(key, time, value).agg(F.array_sort(F.collect_list(F.struct("o.name", "o.off", "_v"))).alias("s")).where(F.size("s") == len(flat))
+    pick = lambda n: F.transform(F.filter("s", lambda x: x["name"] == n), lambda x: x["_v"]).alias(n)
+    return found.select(key, time, value, *[pick(n) for n in offsets])
+
+
+def segment_samples(df: DataFrame, key: str, time: str, value: str, length: int, groups: list[list[int]]) -> DataFrame:
+    """(key, time, x, y): y the ``length`` values from each time on, x the segments of that length that begin the given
+    offsets earlier, group by group, largest offset first; incomplete samples are dropped (W4)."""
+    starts = [(g, -k) for g, ks in enumerate(groups) for k in sorted(ks, reverse=True)] + [(len(groups), 0)]
+    cells = [(g, k, j) for g, k in starts for j in range(length)]
+    listed = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(k).alias("k"), F.lit(j).alias("j")) for g, k, j in cells])
+    asked = df.select(key, time, F.explode(listed).alias("c")).withColumn("_at", F.col(time) + F.col("c.k") + F.col("c.j"))
+    there = df.select(F.col(key).alias("_key"), F.col(time).alias("_t"), F.col(value).alias("_v"))
+    met = asked.join(there, (F.col(key) == F.col("_key")) & (F.col("_at") == F.col("_t")))
+    found = met.groupBy(key, time).agg(F.array_sort(F.collect_list(F.struct("c.g", "c.k", "c.j", "_v"))).alias("s")).where(F.size("s") == len(cells))
+    part = lambda last: F.transform(F.filter("s", lambda x: (x["g"] == len(groups)) == F.lit(last)), lambda x: x["_v"])
+    return found.select(key, time, part(False).alias("x"), part(True).alias("y"))
+
+
 def sessions(df: DataFrame, key: str, time: str, tie: str, gap_seconds: int) -> DataFrame:
     """Adds ``session``, counted from 1: a new one begins where the gap is ``gap_seconds`` or more."""
     w = W.partitionBy(key).orderBy(time, tie)
@@ -88,3 +127,99 @@ def warped_pairs(ids, others, p, q, at_once: int = 65536):
     for k in range(0, len(i), at_once):
         a, b = i[k : k + at_once], j[k : k + at_once]
         yield ids[a], others[b], warped(x[:, a], y[:, b])
+
+
+def common_route(a: np.ndarray, b: np.ndarray) -> list:
+    """A longest common subsequence of two routes (M22). The table is filled by anti-diagonals, each at once."""
+    n, m = len(a), len(b)
+    best = np.zeros((n + 1, m + 1), np.int32)
+    for k in range(n + m - 1):
+        i = np.arange(max(0, k - m + 1), min(n, k + 1))
+        j = k - i
+        best[i + 1, j + 1] = np.where(a[i] == b[j], best[i, j] + 1, np.maximum(best[i, j + 1], best[i + 1, j]))
+    out, i, j = [], n, m
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            out.append(a[i - 1])
+            i, j = i - 1, j - 1
+        elif best[i - 1, j] >= best[i, j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
+def shape_distances(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """1 - the largest normalised cross-correlation of every row with every centre over all shifts, and that shift."""
+    m = x.shape[1]
+    size = 1 << (2 * m - 1).bit_length()
+    f, g = np.fft.rfft(x, size), np.fft.rfft(centres, size)
+    c = np.fft.irfft(f[:, None, :] * np.conj(g)[None, :, :], size)
+    c = np.concatenate([c[..., -(m - 1) :], c[..., :m]], axis=2)
+    norm = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(centres, axis=1)[None, :]
+    c = c / np.maximum(norm, 1e-300)[..., None]
+    return 1 - c.max(axis=2), c.argmax(axis=2) - (m - 1)
+
+
+def shape_clusters(df: DataFrame, key: str, series: str, k: int, rounds: int = 10, seed: int = 7) -> DataFrame:
+    """(key, cluster, distance): series of equal length clustered by shape after scaling to mean 0 and deviation 1.
+
+    Each round a task assigns its series to the nearest centre and adds up the products of the shifted ones: m x m numbers
+    for each cluster, whose first eigenvector, centred, is the new centre. The driver holds k centres and k such matrices.
+    """
+    scaled = df.select(key, F.transform(series, lambda v: v.cast("double")).alias("x")).where(F.size("x") > 1)
+    first = scaled.orderBy(F.xxhash64(F.lit(seed), key), key).limit(k).collect()
+    if not first:
+        return df.limit(0).select(key, F.lit(0).alias("cluster"), F.lit(0.0).alias("distance"))
+    m = len(first[0].x)
+    flat = lambda x: (x - x.mean(axis=1, keepdims=True)) / np.maximum(x.std(axis=1, keepdims=True), 1e-12)
+    centres = flat(np.array([r.x for r in first]))
+    for _ in range(rounds):
+        now = centres
+
+        def summed(parts, now=now):
+            total = np.zeros((len(now), m, m))
+            for part in parts:
+                if not len(part):
+                    continue
+                x = flat(np.stack(part["x"].to_numpy()))
+                gap, shift = shape_distances(x, now)
+                own = gap.argmin(axis=1)
+                for c in range(len(now)):
+                    rows = np.flatnonzero(own == c)
+                    moved = np.zeros((len(rows), m))
+                    for r, (i, s) in enumerate(zip(rows, shift[rows, c], strict=True)):
+                        s = int(s)
+                        if s >= 0:
+                            moved[r, : m - s] = x[i, s:]
+                        else:
+                            moved[r, -s:] = x[i, : m + s]
+                    total[c] += moved.T @ moved
+            yield pd.DataFrame({"c": range(len(now)), "m": [t.ravel().tolist() for t in total]})
+
+        parts = scaled.select("x").mapInPandas(summed, "c int, m array<double>")
+        long = parts.select("c", F.posexplode("m").alias("i", "v")).groupBy("c", "i").agg(F.sum("v").alias("v"))
+        total = np.zeros((len(now), m * m))
+        for r in long.collect():
+            total[r.c, r.i] = r.v
+        q = np.eye(m) - 1.0 / m
+        new = []
+        for c in range(len(now)):
+            product = q @ total[c].reshape(m, m) @ q
+            if not product.any():
+                new.append(now[c])
+                continue
+            v = np.linalg.eigh(product)[1][:, -1]
+            new.append(v if v @ now[c] >= 0 else -v)
+        new = flat(np.array(new))
+        if np.allclose(new, now, atol=1e-9):
+            break
+        centres = new
+
+    def assign(parts):
+        for part in parts:
+            if len(part):
+                gap = shape_distances(flat(np.stack(part["x"].to_numpy())), centres)[0]
+                yield pd.DataFrame({key: part[key], "cluster": gap.argmin(axis=1), "distance": gap.min(axis=1)})
+
+    return scaled.mapInPandas(assign, f"{key} {df.schema[key].dataType.simpleString()}, cluster int, distance double")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -17,6 +16,7 @@ from orrery.plans.q_ranking import _VEC, label_means, vectors
 from orrery.plans.q_spatial import _ZONES, zones
 from orrery.registry import query
 from orrery.sources import sinks
+from orrery.sources.shared import shared_dir
 from orrery.sources.tables import table
 
 
@@ -201,7 +201,7 @@ def encoded_columns(spark, d):
 @query(
     "sequence_pairs",
     """WITH s AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)
-SELECT a.user_id, a.rn AS i, b.rn AS j, CAST(abs(date_diff('second', a.ts, b.ts)) AS BIGINT) AS gap FROM s a JOIN s b ON a.user_id = b.user_id AND a.rn <= 5 AND b.rn <= 5""",
+SELECT a.user_id, a.rn AS i, b.rn AS j, CAST(abs(date_diff('second', a.ts, b.ts)) AS BIGINT) AS gap FROM s a JOIN s b ON a.user_id = b.user_id""",
 )
 def sequence_pairs(spark, d):
     """pairwise gaps of all events of a user."""
@@ -256,8 +256,7 @@ def axis_order(spark, d):
 @query("csv_round_trip", "SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_regionkey < 3")
 def csv_round_trip(spark, d):
     """Written as partitioned CSV, read back with a schema and pruned columns."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    path = f"{base}/nation-{uuid.uuid4().hex}.csv"
+    path = f"{shared_dir(spark)}/nation-{uuid.uuid4().hex}.csv"
     sinks.write_safely(table(spark, d, "nation"), path, "csv", ("n_regionkey",))
     df = spark.read.schema("n_nationkey int, n_name string, n_regionkey int").option("header", True).csv(path)
     return df.where("n_regionkey < 3").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
@@ -265,7 +264,7 @@ def csv_round_trip(spark, d):
 
 @query("customer_clusters")
 def customer_clusters(spark, d):
-    """K-means on standardised columns; labels depend on the seed."""
+    """K-means on standardised columns; labels depend on the seed."""
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -313,7 +312,7 @@ def route_mismatch(spark, d):
     return li.mapInPandas(grade, "k long, common int, mismatch double")
 
 
-@query("ordered_batches")
+@query("ordered_batches", "SELECT doc_id, n_chars FROM documents")
 def ordered_batches(spark, d):
     """T5: lengths ordered inside range partitions, for batching."""
     e = table(spark, d, "documents").select("doc_id", "n_chars")
@@ -325,6 +324,6 @@ def ordered_batches(spark, d):
     "SELECT relation, row_number() OVER (ORDER BY relation) - 1 AS id FROM (SELECT DISTINCT l_returnflag || l_linestatus AS relation FROM lineitem)",
 )
 def table_of_relations(spark, d):
-    """The relation dictionary."""
+    """The relation dictionary."""
     r = table(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("relation")).distinct()
     return O.global_rank(r, ["relation"], "id")

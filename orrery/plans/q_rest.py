@@ -30,18 +30,6 @@ def multimap_join(spark, d):
     return e.join(r, "way").select("event", "road").distinct()
 
 
-@query(
-    "majority_area",
-    """WITH o AS (SELECT l_suppkey AS zone, l_partkey % 20 AS area, CAST(sum(l_quantity) AS BIGINT) AS overlap FROM lineitem GROUP BY 1, 2)
-SELECT zone, arg_min(area, -overlap * 100 + area) AS area, max(overlap) AS overlap FROM o GROUP BY 1""",
-)
-def majority_area(spark, d):
-    """The area with the largest overlap, the smaller id of equals."""
-    o = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("zone"), (F.col("l_partkey") % 20).alias("area")).agg(F.sum("l_quantity").cast("long").alias("overlap"))
-    best = F.max(F.struct("overlap", (-F.col("area")).alias("a")))
-    return o.groupBy("zone").agg(best.alias("b")).select("zone", (-F.col("b.a")).alias("area"), "b.overlap")
-
-
 @query(
     "pair_density",
     f"""WITH {FACTS}, t AS (SELECT DISTINCT head, relation, start_date AS day FROM facts),
@@ -61,7 +49,7 @@ def pair_density(spark, d):
 
 @query(
     "anchor_losses",
-    f"WITH {_VEC} SELECT vec_id, round(list_sum(list_transform(list_zip(e, r), lambda z: power(z[1] - z[2], 2))) / 8, 4) AS mse FROM v JOIN rel USING (label)",
+    f"WITH {_VEC} SELECT vec_id, round(list_sum(list_transform(list_zip(e, r), lambda z: power(z[1] - z[2], 2))) / len(e), 4) AS mse FROM v JOIN rel USING (label)",
 )
 def anchor_losses(spark, d):
     """Mean squared distance of a vector to its anchor."""
@@ -75,13 +63,20 @@ def anchor_losses(spark, d):
 SELECT k, round(avg(length(word)), 4) AS x, round(avg(ascii(word) % 32), 4) AS y FROM w WHERE word <> '' GROUP BY 1""",
 )
 def text_vectors(spark, d):
-    """mean of word vectors (length and first letter stand in for a table of vectors)."""
+    """Means of two numbers per word (its length and first letter); `word_vectors` has whole vectors."""
     w = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.explode(F.split(F.lower("p_name"), " ")).alias("word")).where("word <> ''")
     vocabulary = w.select("word").distinct().select("word", F.length("word").alias("a"), (F.ascii("word") % 32).alias("b"))
     return w.join(vocabulary, "word").groupBy("k").agg(F.round(F.avg("a"), 4).alias("x"), F.round(F.avg("b"), 4).alias("y"))
 
 
-@query("projected_points")
+@query(
+    "projected_points",
+    """WITH c AS (SELECT c_custkey AS k, radians(-88.0 + (c_custkey % 100) / 100.0 + 87.0) AS dl, radians(41.0 + (c_custkey % 97) / 97.0) AS p FROM customer),
+z AS (SELECT *, (2 - 1 / 298.257222101) / 298.257222101 AS e FROM c), n AS (SELECT *, e / (1 - e) AS ep, 6378137.0 / sqrt(1 - e * power(sin(p), 2)) AS n, power(tan(p), 2) AS t, e / (1 - e) * power(cos(p), 2) AS c, cos(p) * dl AS w,
+  6378137.0 * ((1 - e / 4 - 3 * e * e / 64 - 5 * e * e * e / 256) * p - (3 * e / 8 + 3 * e * e / 32 + 45 * e * e * e / 1024) * sin(2 * p) + (15 * e * e / 256 + 45 * e * e * e / 1024) * sin(4 * p) - 35 * e * e * e / 3072 * sin(6 * p)) AS m FROM z)
+SELECT k, round(0.9996 * n * (w + (1 - t + c) * power(w, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * power(w, 5) / 120) + 500000, 2) AS x,
+  round(0.9996 * (m + n * tan(p) * (w * w / 2 + (5 - t + 9 * c + 4 * c * c) * power(w, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * power(w, 6) / 720)), 2) AS y FROM n""",
+)
 def projected_points(spark, d):
     """transverse Mercator metres of zone 16."""
     k = F.col("c_custkey")

@@ -56,7 +56,7 @@ def multi_file_union(spark, d):
 SELECT row_number() OVER (ORDER BY user_id, day) - 1 AS dyna_id, 'state' AS type, strftime(day, '%Y-%m-%dT00:00:00Z') AS time, user_id AS entity_id, flow FROM g""",
 )
 def dyna_rows(spark, d):
-    """Rows of an atomic dynamics file."""
+    """Rows of an atomic dynamics file."""
     g = events(spark, d).groupBy(F.to_date("ts").alias("day"), "user_id").agg(F.count(F.lit(1)).alias("flow"))
     return sinks.dyna_rows(g, "day", "user_id", ["flow"])
 
@@ -66,12 +66,15 @@ def dyna_rows(spark, d):
     "SELECT count(DISTINCT CAST(ts AS DATE)) AS times, count(DISTINCT user_id) AS entities, count(DISTINCT (CAST(ts AS DATE), user_id)) AS cells, count(DISTINCT CAST(ts AS DATE)) * count(DISTINCT user_id) = count(DISTINCT (CAST(ts AS DATE), user_id)) AS complete FROM events",
 )
 def grid_completeness(spark, d):
-    """Whether a long table is a full grid."""
+    """Whether a long table is a full grid."""
     g = events(spark, d).select(F.to_date("ts").alias("day"), "user_id").distinct()
     return readers.complete_grid(g, "day", "user_id")
 
 
-@query("geojson_features")
+@query(
+    "geojson_features",
+    """SELECT c_nationkey, '{"type":"Feature","properties":{"c_acctbal":' || round(avg(c_acctbal), 4) || '},"geometry":{"type":"Point","coordinates":[' || c_nationkey * 1.0::DOUBLE || ',' || c_nationkey * 2.0::DOUBLE || ']}}' AS feature FROM customer GROUP BY c_nationkey""",
+)
 def geojson_features(spark, d):
     """GeoJSON features with mean values."""
     c = table(spark, d, "customer").select("c_nationkey", (F.col("c_nationkey") * 1.0).alias("x"), (F.col("c_nationkey") * 2.0).alias("y"), "c_acctbal")
@@ -102,5 +105,5 @@ def quarter_names(spark, d):
 
 @query("ordered_ids", "SELECT n_name AS name, row_number() OVER (ORDER BY n_name) - 1 AS id FROM nation")
 def ordered_ids(spark, d):
-    """Ids in code point order."""
+    """Ids in code point order."""
     return O.global_rank(table(spark, d, "nation").select(F.col("n_name").alias("name")), ["name"], "id")

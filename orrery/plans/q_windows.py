@@ -25,7 +25,7 @@ def daily(spark, d):
 SELECT * FROM s WHERE len(x) = 3 AND len(y) = 2""",
 )
 def sliding_samples(spark, d):
-    """Three steps in, two steps out."""
+    """Three steps in, two steps out."""
     return Q.samples(daily(spark, d), "user_id", "t", "v", 3, 2)
 
 
@@ -34,7 +34,7 @@ def sliding_samples(spark, d):
     f"""WITH {_DAILY} SELECT a.user_id, a.t, a.v, b.v AS close, c.v AS period FROM daily a JOIN daily b ON a.user_id = b.user_id AND b.t = a.t - 1 JOIN daily c ON a.user_id = c.user_id AND c.t = a.t - 7""",
 )
 def offset_samples(spark, d):
-    """Closeness and period by equi-joins on shifted time; incomplete samples go."""
+    """Closeness and period by equi-joins on shifted time; incomplete samples go."""
     a = daily(spark, d)
     shifted = lambda k, n: a.select("user_id", (F.col("t") + k).alias("t"), F.col("v").alias(n))
     return a.join(shifted(1, "close"), ["user_id", "t"]).join(shifted(7, "period"), ["user_id", "t"])
@@ -53,7 +53,13 @@ def gap_sessions(spark, d):
     return g.where("n >= 2").select("user_id", "session", "n", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), F.col("last_ts").cast("timestamp_ntz").alias("last_ts"))
 
 
-@query("capped_sessions")
+@query(
+    "capped_sessions",
+    """WITH e AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM e),
+p AS (SELECT *, (row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) - 1) // 5 AS part FROM r)
+SELECT user_id, dense_rank() OVER (PARTITION BY user_id ORDER BY run, part) AS session, n FROM (SELECT user_id, run, part, count(*) AS n FROM p GROUP BY 1, 2, 3)""",
+)
 def capped_sessions(spark, d):
     """W5 with a cap on length."""
     return Q.capped_sessions(events(spark, d), "user_id", "ts", "event_id", 6 * 3600, 5).groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"))
@@ -134,11 +140,11 @@ def seasonal_profile(spark, d):
 
 @query(
     "padded_sequences",
-    """WITH l AS (SELECT user_id, list(event_id ORDER BY ts, event_id) AS a FROM events WHERE event_id % 9 = 0 GROUP BY 1)
+    """WITH l AS (SELECT user_id, list(event_id ORDER BY ts, event_id) AS a FROM events GROUP BY 1)
 SELECT user_id, list_resize(CASE WHEN len(a) > 6 THEN a[len(a) - 5:] ELSE a END, 6, -1) AS padded FROM l""",
 )
 def padded_sequences(spark, d):
-    """The last six of a sequence, padded on the right."""
+    """the last six of a sequence, padded on the right."""
     e = events(spark, d)
     a = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("s")).select("user_id", F.col("s.event_id").alias("a"))
     return a.select("user_id", Q.padded(F.col("a"), 6, -1).alias("padded"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,33 @@ def gap_sessions(events: DataFrame, gap: str = "6 hours", lateness: str = "1 day
     return g.select("user_id", F.col("s.start").alias("start_ts"), "n")
 
 
+def sliding_counts(events: DataFrame, width: str = "12 hours", step: str = "6 hours", lateness: str = "1 day") -> DataFrame:
+    """Counts and peaks per sliding window and type."""
+    w = F.window("ts", width, step)
+    g = events.withWatermark("ts", lateness).groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("peak"))
+    return g.select(F.col("w.start").alias("start_ts"), "event_type", "n", "peak")
+
+
+def running_users(events: DataFrame) -> DataFrame:
+    """Per user the count, sum and number of kinds of all events so far: state of our own, kept from batch to batch."""
+
+    def update(key, parts, state):
+        n, total, kinds = state.get if state.exists else (0, 0.0, "")
+        seen = set(filter(None, kinds.split("\x1f")))
+        for part in parts:
+            n, total = n + len(part), total + float(part["value"].sum())
+            seen |= set(part["event_type"])
+        state.update((n, total, "\x1f".join(sorted(seen))))
+        yield pd.DataFrame({"user_id": [key[0]], "events": [n], "total": [total], "kinds": [len(seen)]})
+
+    out = "user_id long, events long, total double, kinds long"
+    kept = events.select("user_id", "event_type", "value").groupBy("user_id")
+    made = kept.applyInPandasWithState(update, out, "n long, total double, kinds string", "update", "NoTimeout")
+    rows = collected(made, "update")
+    last = F.max(F.struct("events", "total", "kinds")).alias("s")  # counts grow, so the largest is the latest
+    return rows.groupBy("user_id").agg(last).select("user_id", "s.events", "s.total", "s.kinds")
+
+
 def collected(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a stream over what its source holds now and return the result table."""
     name = f"flow_{uuid.uuid4().hex}"

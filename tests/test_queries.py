@@ -9,7 +9,7 @@ from orrery import registry
 from orrery.plans import catalog  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
+TABLES = "region nation customer supplier part orders lineitem events embeddings documents".split()
 
 
 @pytest.fixture(scope="module")
