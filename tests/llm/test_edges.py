@@ -446,3 +446,10 @@ def test_ranges_skip_the_opening_record():
     data = warc.info("a.warc.gz") + warc.record(1, "http://x", b"abc", "D", None)
     kinds = [warc._parse(content) for _, content in warc._records(io.BytesIO(data), 0, len(data))]
     assert kinds[0] is None and kinds[1][0] == 1 and kinds[1][-1] == b"abc"
+
+
+def test_stored_tables_live_where_the_session_says(spark):
+    from orrery.llm.common import stored
+
+    path = stored(spark.range(3), "where").inputFiles()[0]
+    assert path.removeprefix("file:").lstrip("/").startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file:").lstrip("/"))
