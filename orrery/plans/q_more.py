@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from orrery.functions import vectors as V
 from orrery.operators import order as O
 from orrery.operators import spatial as S
+from orrery.operators.sequences import common_route
 from orrery.plans.bridge import events, xy, xy_sql
 from orrery.plans.q_ranking import _VEC, label_means, vectors
 from orrery.plans.q_spatial import _ZONES, zones
@@ -289,7 +291,14 @@ def reduced_vectors(spark, d):
     return out.select("vec_id", F.round(V.norm(vector_to_array("p")), 4).alias("length"))
 
 
-@query("route_mismatch")
+@query(
+    "route_mismatch",
+    """WITH RECURSIVE l AS (SELECT l_orderkey AS k, list(l_partkey ORDER BY l_shipdate, l_partkey) AS a, list(l_partkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem GROUP BY 1),
+r AS (SELECT k, a, b, 0 AS i, list_transform(range(len(b) + 1), lambda x: 0::BIGINT) AS best FROM l
+  UNION ALL SELECT k, a, b, i + 1, list_reduce(list_prepend([0::BIGINT], list_transform(range(1, len(b) + 1), lambda j: [j])),
+    lambda acc, e: list_append(acc, CASE WHEN a[i + 1] = b[e[1]] THEN best[e[1]] + 1 ELSE greatest(best[e[1] + 1], acc[len(acc)]) END)) FROM r WHERE i < len(a))
+SELECT k, CAST(best[len(b) + 1] AS INT) AS common, (len(a) + len(b) - 2 * best[len(b) + 1]) / CAST(len(a) AS DOUBLE) AS mismatch FROM r WHERE i = len(a)""",
+)
 def route_mismatch(spark, d):
     """Route mismatch by the longest common subsequence of two routes per order; sequential, so grouped pandas."""
     li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
@@ -301,12 +310,8 @@ def route_mismatch(spark, d):
         for g in parts:
             rows = []
             for k, a, b in zip(g["l_orderkey"], g["a"], g["b"], strict=True):
-                row = [0] * (len(b) + 1)
-                for x in a:
-                    last = 0
-                    for j, y in enumerate(b):
-                        last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
-                rows.append((k, row[-1], (len(a) + len(b) - 2 * row[-1]) / len(a)))
+                same = len(common_route(np.asarray(a), np.asarray(b)))
+                rows.append((k, same, (len(a) + len(b) - 2 * same) / len(a)))
             yield pd.DataFrame(rows, columns=["k", "common", "mismatch"])
 
     return li.mapInPandas(grade, "k long, common int, mismatch double")

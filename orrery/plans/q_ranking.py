@@ -187,10 +187,18 @@ def start_end_sweep(spark, d):
     return R.start_end_sweep(p, "k", "t", "p", "p", 3)
 
 
-@query("greedy_intervals")
+@query(
+    "greedy_intervals",
+    f"""WITH RECURSIVE {_PROB}, s AS (SELECT k, t, p, row_number() OVER (PARTITION BY k ORDER BY t) AS x FROM prob), tot AS (SELECT k, sum(p) AS whole FROM prob GROUP BY 1),
+r AS (SELECT k, x AS i, x AS j, p AS mass, 0 AS step FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p DESC, x) AS rn FROM s) WHERE rn = 1
+  UNION ALL SELECT r.k, CASE WHEN coalesce(l.p, -1) >= coalesce(u.p, -1) THEN i - 1 ELSE i END, CASE WHEN coalesce(l.p, -1) >= coalesce(u.p, -1) THEN j ELSE j + 1 END, mass + CASE WHEN coalesce(l.p, -1) >= coalesce(u.p, -1) THEN l.p ELSE u.p END, step + 1
+  FROM r JOIN tot ON tot.k = r.k LEFT JOIN s l ON l.k = r.k AND l.x = i - 1 LEFT JOIN s u ON u.k = r.k AND u.x = j + 1 WHERE mass < 0.4 * whole AND (l.p IS NOT NULL OR u.p IS NOT NULL)),
+z AS (SELECT k, arg_max(i, step) AS i, arg_max(j, step) AS j, max(mass) AS mass FROM r GROUP BY 1)
+SELECT z.k, a.t AS begin, b.t AS finish, round(mass / whole, 6) AS mass FROM z JOIN tot USING (k) JOIN s a ON a.k = z.k AND a.x = i JOIN s b ON b.k = z.k AND b.x = j""",
+)
 def greedy_intervals(spark, d):
     """Intervals grown from the peak; sequential, so grouped pandas over one fact's short axis."""
-    return Q.greedy_interval(_mass(spark, d), "k", "t", "p", 0.4)
+    return Q.greedy_interval(_mass(spark, d), "k", "t", "p", 0.4).withColumn("mass", F.round("mass", 6))
 
 
 _PRED = "p AS (SELECT o_orderpriority AS g, o_totalprice / 1000.0 AS y, o_totalprice / 1000.0 * (0.9 + (o_orderkey % 7) * 0.03) AS f FROM orders)"

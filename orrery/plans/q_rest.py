@@ -84,7 +84,16 @@ def projected_points(spark, d):
     return table(spark, d, "customer").select(k.alias("k"), F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
 
 
-@query("profile_graph")
+@query(
+    "profile_graph",
+    """WITH RECURSIVE p AS (SELECT user_id AS u, list_transform(range(24), lambda h: CAST(len(list_filter(hs, lambda x: x = h)) AS DOUBLE)) AS p FROM (SELECT user_id, list(hour(ts)) AS hs FROM events WHERE user_id IS NOT NULL GROUP BY 1)),
+r AS (SELECT a.u AS a, b.u AS b, a.p AS x, b.p AS y, 0 AS i, list_transform(range(25), lambda j: CASE WHEN j = 0 THEN 0.0 ELSE 'inf'::DOUBLE END) AS best FROM p a JOIN p b ON a.u <= b.u
+  UNION ALL SELECT a, b, x, y, i + 1, list_reduce(list_prepend(['inf'::DOUBLE], list_transform(range(1, 25), lambda j: [CAST(j AS DOUBLE)])),
+    lambda acc, e: list_append(acc, abs(x[i + 1] - y[CAST(e[1] AS INT)]) + least(best[CAST(e[1] AS INT)], best[CAST(e[1] AS INT) + 1], acc[len(acc)]))) FROM r WHERE i < 24),
+d AS (SELECT a, b, best[25] AS gap FROM r WHERE i = 24), n AS (SELECT count(*) AS n FROM p),
+s AS (SELECT sqrt(greatest(2 * sum(gap * gap) / (any_value(n) * any_value(n)) - power(2 * sum(gap) / (any_value(n) * any_value(n)), 2), 0)) AS sigma FROM d, n)
+SELECT a, b, round(gap / 48, 6) AS distance, round(exp(-gap / sigma), 6) AS similarity FROM d, s WHERE exp(-gap / sigma) > 0.83""",
+)
 def profile_graph(spark, d):
     """Users whose daily profiles are alike: exp(-d / sigma) > 0.83, d by dynamic time warping of all pairs, a <= b.
 
@@ -116,7 +125,8 @@ def profile_graph(spark, d):
     mean = 2 * F.col("s") / (F.col("n") * F.col("n"))
     sigma = F.sqrt(F.greatest(2 * F.col("ss") / (F.col("n") * F.col("n")) - mean * mean, F.lit(0.0)))
     sigma = total.crossJoin(n).select(sigma.alias("sigma"))
-    return pairs.crossJoin(F.broadcast(sigma)).mapInPandas(alike, "a long, b long, distance double, similarity double")
+    found = pairs.crossJoin(F.broadcast(sigma)).mapInPandas(alike, "a long, b long, distance double, similarity double")
+    return found.select("a", "b", F.round("distance", 6).alias("distance"), F.round("similarity", 6).alias("similarity"))
 
 
 @query("cached_result", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
