@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.sources.shared import shared_dir
+
 
 def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
     """Events as a stream of the Parquet files that match ``folder/events.parquet``."""
@@ -58,8 +60,21 @@ def running_users(events: DataFrame) -> DataFrame:
 
 
 def collected(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over what its source holds now and return the result table."""
-    name = f"flow_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Run a stream over what its source holds now and return the result table.
+
+    Every batch is written to a folder of its own in the shared one, so a batch that runs twice is written once, and nothing
+    passes through the driver. In complete mode the last batch is the result, otherwise all of them are.
+    """
+    spark = stream.sparkSession
+    base, seen = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", []
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/rows/batch={batch}")
+        seen.append(batch)
+
+    q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{base}/state")
+    q.trigger(availableNow=True).start().awaitTermination()
+    wanted = seen[-1:] if mode == "complete" else seen
+    if not wanted:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*[f"{base}/rows/batch={b}" for b in sorted(set(wanted))])
