@@ -78,14 +78,24 @@ def fact_scores(spark, d):
     return s.select("h", "t", *[(F.round(n, 4) + F.lit(0.0)).alias(n) for n in q])
 
 
-@query("hyperbolic_scores")
+_TO_BALL = "list_transform({0}, lambda u: u * tanh(sqrt(list_dot_product({0}, {0}))) / sqrt(list_dot_product({0}, {0})))"
+
+
+@query(
+    "hyperbolic_scores",
+    f"""WITH {_VEC}, b AS (SELECT vec_id, {_TO_BALL.format("e")} AS x, {_TO_BALL.format("r")} AS y FROM v JOIN rel USING (label)),
+s AS (SELECT *, list_dot_product(x, x) AS xx, list_dot_product(y, y) AS yy, list_dot_product(x, y) AS xy FROM b),
+q AS (SELECT vec_id AS h, list_transform(list_zip(x, y), lambda z: ((1 + 2 * xy + yy) * z[1] + (1 - xx) * z[2]) / greatest(1 + 2 * xy + xx * yy, 1e-15)) AS q FROM s),
+n AS (SELECT h, q, list_dot_product(q, q) AS qq FROM q), d AS (SELECT h, vec_id AS t, greatest(qq + xx - 2 * list_dot_product(q, x), 0) AS up, greatest(1 - 2 * list_dot_product(q, x) + qq * xx, 1e-15) AS under FROM n CROSS JOIN s)
+SELECT h, t, round(-power(2 * atanh(least(sqrt(up / under), 1 - 1e-5)), 2), 4) + 0.0 AS score FROM d""",
+)
 def hyperbolic_scores(spark, d):
     """scores on the Poincare ball of every head against every vector."""
     q = V.mobius_add(V.exp_map_zero(F.col("h_e"), 1.0), V.exp_map_zero(F.col("r"), 1.0), 1.0)
     s = R.block_scores(
         _heads(spark, d).select("h", q.alias("score")), _tails(spark, d).select("t", V.exp_map_zero(F.col("t_e"), 1.0).alias("t_e")), {"score": R.ball_scores}
     )
-    return s.select("h", "t", F.round("score", 4).alias("score"))
+    return s.select("h", "t", (F.round("score", 4) + F.lit(0.0)).alias("score"))
 
 
 _SCORED = """scored AS (SELECT h, label, t, round(-sqrt(list_sum(list_transform(list_zip(h_e, r, t_e), lambda z: power(z[1] + z[2] - z[3], 2)))), 6) AS s, (h * 7 + 10) % (SELECT count(*) FROM v) // 5 * 5 + h % 5 AS target FROM c)"""
