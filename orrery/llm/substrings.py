@@ -25,6 +25,8 @@ BLOCKS = (16, 1)
 PIECE = 1 << 20
 #: Ids are broadcast up to so many rows, otherwise joined by sort and merge.
 BROADCAST_ROWS = 1_000_000
+#: Repeated runs, which meet all others, are broadcast up to so many; beyond, the engine may split a hot one.
+REPEATED_ROWS = 100_000
 #: Surroundings sorted at once.
 SORTED_AT_ONCE = 4_000
 
@@ -349,6 +351,8 @@ def _split(rows: DataFrame, block: int) -> DataFrame:
 def _repeats_of(runs: DataFrame, contents: DataFrame) -> DataFrame:
     """Runs whose bytes another run has too, from end to end."""
     again = contents.where("times > 1").select("key", "content")
+    if again.limit(REPEATED_ROWS + 1).count() <= REPEATED_ROWS:
+        again = F.broadcast(again)
     end = (F.col("first") + F.col("windows") - 1 + LENGTH).alias("end")
     return runs.join(again, ["key", "content"]).select("node", F.col("first").alias("start"), end)
 
