@@ -292,7 +292,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, til
     Defined cases: a null label, and a vector that is null, empty, zero or holds null or non-finite components, links
     with nothing (n_links 0, a component of its own); vectors of different lengths link with nothing; rows that repeat an
     id are vectors of their own, and a component is named by the smallest id in it; null ids are their own component (null); an empty table gives no rows; other
-    columns are ignored. Classes are named by 64 bits.
+    columns are ignored. Classes are named by 64 bits. Memory: two tiles and
+    the matrix of their products.
 
     Returns vec_id, n_links, component_id, kept.
     """

@@ -107,7 +107,7 @@ def mix_sources(
 
     Defined cases: a null text has size 0; null sources form one source, the last; a null id takes its place by the
     id's empty string; rows that repeat are documents of their own; texts of size 0 are never taken (``copies`` 0,
-    ``taken`` 0); an empty table gives no rows.
+    ``taken`` 0); an empty table gives no rows. Memory: a row's text and its words; texts are never shuffled here.
 
     Returns doc_id, source, size, source_size, target, copies (whole ones), part (words of one more), taken. Reruns give
     the same rows.

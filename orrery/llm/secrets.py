@@ -226,7 +226,8 @@ def find_secrets(
     others scan every text. Needs doc_id and text.
 
     Defined cases: a null text is empty; rows that share an id share their candidate kinds, which adds candidates and
-    loses none; rows with a null id are scanned for every kind; an empty table gives no rows.
+    loses none; rows with a null id are scanned for every kind; an empty table gives no rows. Memory: a row's text and its
+    matches.
     """
     columns = docs.columns if columns is None else columns
     queries = {r.kind: trigram_query(r.pattern) for r in rules}

@@ -30,7 +30,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, snap: float = SNAP) -> Dat
     one huge group cannot unbalance the shards. Largest first, most cuts fall between small groups.
 
     Defined cases: a null text counts as no bytes (size 1, the checksum of no bytes); rows that repeat are documents of
-    their own; an empty table gives no rows; ids may be null and other columns are ignored.
+    their own; an empty table gives no rows; ids may be null and other columns are ignored. Memory: a
+    row's text; only sizes, checksums and hashes travel.
 
     Returns doc_id, size (UTF-8 bytes plus 1), text_crc32, shard, slot, group_key, group_rows.
     """

@@ -310,6 +310,7 @@ def archive_round_trip(pages: DataFrame, min_revisit: int = MIN_REVISIT, split:
     Defined cases: a null html is an empty payload, like an empty text; a null page_id is kept as null and never chosen
     over an id; rows with equal page_id and payload are all stored if theirs is the largest id; a null url stays null, any
     other comes back as it was;
-    an empty table writes nothing and gives no rows; other columns are ignored.
+    an empty table writes nothing and gives no rows; other columns are ignored. Memory: a payload and its
+    record, on reading those of 8 MB of records or one record.
     """
     return read_archives(write_archives(pages, min_revisit), split)
