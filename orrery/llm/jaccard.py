@@ -543,9 +543,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     id all stay.
     """
     members = stored(_members(docs).where("doc_id is not null"), "jaccard-members")
-    first = members.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    first = members.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("rows"))
+    first = stored(first.where("rows > 1").select(F.col("group").alias("_group"), "first"), "jaccard-first")
     id_, hash_ = private(docs, "id", "hash")
-    dropped = members.join(first, "group").where(F.struct("doc_id", "text_hash") != F.col("first")).select("doc_id", "text_hash").distinct()
+    dropped = _ids_joined(members, "group", first, "inner").where(F.struct("doc_id", "text_hash") != F.col("first")).select("doc_id", "text_hash").distinct()
     dropped = stored(dropped.toDF(id_, hash_), "jaccard-dropped")
     again = members.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash").toDF(id_, hash_)
     again = stored(again, "jaccard-again")
