@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -58,6 +60,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trim() -> None:
+    """Give what a finished task has freed back to the system: its Python worker lives on, idle beside other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than glibc
+        return
+
+
 def private(df: DataFrame, *names: str) -> tuple[str, ...]:
     """Column names that ``df`` does not have, whatever the case: the given ones behind as many underscores as that takes."""
     taken, head = {c.lower() for c in df.columns}, "_"

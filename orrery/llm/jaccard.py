@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orrery.llm.common import private, stored
+from orrery.llm.common import private, stored, trim
 from orrery.llm.components import connected_components
 from orrery.llm.hashing import mix, shingle_set
 
@@ -88,6 +88,7 @@ def _shapes(docs: DataFrame) -> DataFrame:
             {c: pa.nulls(n, pa.int64()) for c in ("doc_id", "text_hash", "n", "class")}
             | {"counter": pa.array(high.astype(np.int32)), "times": pa.array(counts[high])}
         )
+        trim()
 
     return docs.mapInArrow(shapes, "doc_id long, text_hash long, n long, class long, counter int, times long")
 
@@ -143,6 +144,8 @@ def _blobs(texts: DataFrame, hot: np.ndarray, buckets: int, width: int) -> DataF
                     ids, ns, hots, held, size = [], [], [], [], 0
         if ids:
             yield deal(ids, ns, hots, held)
+        held = []
+        trim()
 
     return texts.mapInArrow(blobs, "bucket int, batch long, texts binary, shingles binary, places binary")
 
@@ -199,6 +202,8 @@ def _counted(blobs: DataFrame, width: int) -> DataFrame:
                 yield made(through)
         if rows:
             yield count(rows)
+        rows = []
+        trim()
 
     dealt = blobs.repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(work, "batch long, texts binary, shingles binary, places binary, codes binary")
@@ -240,6 +245,8 @@ def _candidates(counted: DataFrame, width: int) -> DataFrame:
                     rows.append(tuple(part.column(k)[i].as_py() for k in (2, 3, 4)))
         if about is not None:
             yield gather(about, rows)
+        rows = []
+        trim()
 
     dealt = counted.repartition("batch").sortWithinPartitions("batch")
     return dealt.mapInArrow(work, "class long, shared binary, codes binary")
@@ -304,6 +311,7 @@ def _prefixes(texts: DataFrame, hot: np.ndarray, width: int) -> DataFrame:
                     "shingles": pa.array(sets, pa.binary()),
                 }
             )
+        trim()
 
     return texts.mapInArrow(prefixes, "class long, n int, more int, tokens array<long>, sketch binary, shingles binary")
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from orrery.llm.common import stored
+from orrery.llm.common import stored, trim
 
 #: Token that ends every document.
 END = 1
@@ -21,7 +21,7 @@ MAX_LENGTH = 2048
 #: Pieces of one length that share a rank window.
 BUCKET_ROWS = 50_000
 #: Encoded words a worker keeps; when full, it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 
 #: White space characters, as the tokenizer's pattern sees them, that a text may not have before a space
 #: for its words to be encoded one by one.
@@ -41,6 +41,16 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+def _needs_context(text: str) -> bool:
+    """Whether a text holds white space before a space or a special token. Apart from the space, white space is never
+    printable, so for most texts two searches decide."""
+    if "  " in text or "<|" in text:
+        return True
+    if text.isprintable():
+        return False
+    return "\n " in text or (not text.replace("\n", "").isprintable() and any(x in text for x in _BEFORE_SPACE))
+
+
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
@@ -98,7 +108,7 @@ class Encoder:
                 was = end
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if "<|" in t or any(x in t for x in _BEFORE_SPACE) else t.split(" ") for t in texts]
+        split = [None if _needs_context(t) else t.split(" ") for t in texts]
         seen: set[str] = set()
         for words in split:
             if words:
@@ -141,6 +151,7 @@ def token_pieces(
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema
                 )
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 
@@ -194,7 +205,7 @@ def pack_documents(
     pieces of its length. Ranks are counted in buckets of a length, so a length that many pieces share is split.
 
     Defined cases: a null or empty text is the end token alone; rows that repeat are packed each; a null id stays null;
-    an empty table gives no rows.
+    an empty table gives no rows. Memory: 256 texts, their words and their ids, and ``CACHE_WORDS`` words.
 
     Returns doc_id, start, length, doc_tokens, ids_crc32, ids (bytes; null unless ``with_ids``, where only the places and
     checksums travel), sequence_id, offset.
