@@ -465,15 +465,3 @@ def test_encoder_agrees_with_the_tokenizer_on_odd_texts():
     texts = ["", " ", "a", " a", "a ", "a  b", "<|endoftext|> x"] + ["".join(rng.choices(odd, k=rng.randint(1, 14))) for _ in range(4000)]
     for text, ids in zip(texts, encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
-
-
-def test_runs_of_texts_cover_a_batch_once(monkeypatch):
-    import pyarrow as pa
-
-    monkeypatch.setattr(packing, "BYTES", 10)
-    rng = random.Random(12)
-    for _ in range(200):
-        texts = [None if rng.random() < 0.2 else "é" * rng.choice([0, 1, 3, 30]) for _ in range(rng.randint(0, 12))]
-        spans = packing._spans(pa.array(texts, pa.string()))
-        assert [i for a, b in spans for i in range(a, b)] == list(range(len(texts)))
-        assert all(sum(len((t or "").encode()) for t in texts[a:b]) < 10 + 60 + 60 for a, b in spans)
