@@ -15,6 +15,11 @@ def doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """x rounded as SQL does: what is negative stays so, down to -0.0."""
+    return F.when(F.atan2(x, F.lit(-1.0)) < 0, -F.round(-x, places)).otherwise(F.round(x, places))
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 

@@ -37,7 +37,7 @@ def label_mean_vectors(spark, d):
     """Mean vectors with log1p counts."""
     v = vectors(spark, d)
     n = v.groupBy("label").agg(F.round(F.log1p(F.count(F.lit(1))), 6).alias("log_count"))
-    return label_means(v).join(n, "label").select("label", F.transform("r", lambda x: F.round(x, 4)).alias("mean"), "log_count")
+    return label_means(v).join(n, "label").select("label", F.transform("r", lambda x: V.rounded(x, 4)).alias("mean"), "log_count")
 
 
 _CAND = "SELECT a.vec_id AS h, a.label, a.e AS h_e, rel.r, b.vec_id AS t, b.e AS t_e, len(b.e) // 2 AS half FROM v a JOIN rel ON a.label = rel.label CROSS JOIN v b"
