@@ -17,7 +17,7 @@ def both(spark, folder, name):
     return got, sorted(repr(dict(zip(names, r, strict=True))) for r in found.fetchall())
 
 
-@pytest.mark.parametrize("name", ["label_mean_vectors"])
+@pytest.mark.parametrize("name", ["label_mean_vectors", "fused_embeddings"])
 def test_small_negatives_keep_their_sign(spark, tmp_path, name):
     rows = [(1, 0, [-1e-5, 0.5]), (2, 0, [-2e-5, -0.25]), (3, 1, [-1e-5, 1e-5]), (4, 1, [-0.0, 2.0])]
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
