@@ -8,7 +8,6 @@ from math import log2
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.llm.common import private, stored, trim
@@ -32,7 +31,7 @@ PLACES = 1 << 16
 GROWTH = 0.25
 #: A list of ids is broadcast up to so many rows, otherwise joined by sort and merge.
 BROADCAST_ROWS = 1_000_000
-#: Leaders that a class is verified against before pairs are made, and best pairs verified before the others.
+#: Leaders that a class is verified against before pairs are made.
 LEADERS = 2
 #: Classes compared with one leader in one task.
 CHUNK = 100
@@ -401,11 +400,21 @@ def _near(group: np.ndarray, n: np.ndarray, tile: np.ndarray, sketches: list[byt
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 3
 
 
-def _open_pairs(lists: DataFrame, prefixes: DataFrame) -> DataFrame:
+def _best(i: np.ndarray, j: np.ndarray, room: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Places of the pairs that leave most room to a class, one for each class at most; of equals the smaller other name."""
+    one, other, at = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(np.arange(len(i)), 2)
+    order = np.lexsort((name[other], -room[at], one))
+    first = np.ones(len(order), bool)
+    first[1:] = one[order][1:] != one[order][:-1]
+    return np.unique(at[order[first]])
+
+
+def _open_pairs(lists: DataFrame, prefixes: DataFrame, best: bool = False) -> DataFrame:
     """Pairs of classes (token, class, group) that still lie in different groups and share enough tokens.
 
     A list longer than ``TILE`` is cut, and every two cuts meet in one task. Pairs that the sketches rule out never leave
-    the task; the others leave it once for each token that they share, so their number can be asked for.
+    the task; the others leave it once for each token that they share, so their number can be asked for. With ``best``
+    only each class's best pair of a list leaves, whatever they share.
     """
     sizes = lists.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("tiles"))
     cut = lists.join(sizes, "token").withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
@@ -419,6 +428,9 @@ def _open_pairs(lists: DataFrame, prefixes: DataFrame) -> DataFrame:
     def compare(cell: tuple, rows: list[tuple]) -> list[np.ndarray]:
         tile, name, group, n, more = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:5])
         i, j, room = _near(group, n, tile, [r[5] for r in rows], cell[1] != cell[2])
+        if best:
+            some = _best(i, j, room, name)
+            i, j, room = i[some], j[some], room[some]
         a, b = np.maximum(name[i], name[j]), np.minimum(name[i], name[j])
         return [a, b, np.minimum(more[i], more[j]), room]
 
@@ -438,11 +450,13 @@ def _open_pairs(lists: DataFrame, prefixes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["class", "leader", "more", "room"])
 
     pairs = met.mapInArrow(work, "class long, leader long, more long, room long")
+    if best:
+        return pairs.select("class", "leader").distinct()
     return (
         pairs.groupBy("class", "leader")
-        .agg(F.count(F.lit(1)).alias("times"), F.min("more").alias("more"), F.max("room").alias("room"))
+        .agg(F.count(F.lit(1)).alias("times"), F.min("more").alias("more"))
         .where("times > more")
-        .select("class", "leader", "room")
+        .select("class", "leader")
     )
 
 
@@ -466,16 +480,17 @@ def _linked_classes(prefixes: DataFrame) -> DataFrame:
         now = found.select(F.col("node").alias(key), F.col("component").alias("_g"))
         return df.join(now, key, "left").withColumn(name, F.coalesce("_g", key)).drop("_g")
 
+    def still_open() -> DataFrame:
+        named = grouped(postings.select("token", "class"), "class", "group")
+        mixed = named.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("token")
+        return named.join(mixed, "token")
+
     found = stored(connected_components(links, "jaccard-stars"), "jaccard-groups")
-    named = grouped(postings.select("token", "class"), "class", "group")
-    mixed = named.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("token")
-    rest = stored(_open_pairs(named.join(mixed, "token"), prefixes), "jaccard-pairs")
-    place = F.row_number().over(W.partitionBy("class").orderBy(F.desc("room"), "leader"))
-    tried = rest.withColumn("place", place).where(F.col("place") <= LEADERS).select("class", "leader")
+    tried = stored(_open_pairs(still_open(), prefixes, best=True), "jaccard-best")
     links = stored(links.unionByName(_verified(prefixes, tried)), "jaccard-links")
     found = stored(connected_components(links, "jaccard-stars"), "jaccard-groups")
-    rest = grouped(grouped(rest.select("class", "leader"), "class", "g"), "leader", "h").where("g <> h")
-    return links.unionByName(_verified(prefixes, rest.select("class", "leader")))
+    rest = stored(_open_pairs(still_open(), prefixes), "jaccard-pairs")
+    return links.unionByName(_verified(prefixes, rest))
 
 
 def _members(docs: DataFrame) -> DataFrame:
@@ -529,8 +544,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     3. Leaders: each class is verified against the smallest classes of the tokens it shares most of, which joins the
        members of a large group of near copies by as many pairs as it has members.
     4. Pairs: classes of one token still in different components are compared by sketches that bound their difference
-       from below, inside the task that holds the token's list. What is left and shares as many prefix tokens as
-       prefixes were lengthened by, plus one, is verified: first each class's best pairs, then all still apart.
+       from below, inside the task that holds the token's list. First only each class's best pair of a list leaves the
+       task and is verified, so that near copies which no leader joined cost a row a member. Then all pairs that are
+       still apart and share as many prefix tokens as prefixes were lengthened by, plus one, are verified.
 
     Defined cases: null and empty texts and such without words have no shingles and stay alone; a null doc_id stays alone
     (component null) and links nothing; rows that repeat are one document to the join and a row each in the result; rows
