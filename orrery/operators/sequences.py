@@ -118,15 +118,72 @@ def warped(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return row[-1]
 
 
-def warped_pairs(ids, others, p, q, at_once: int = 65536):
-    """(a, b, distance) for the pairs a <= b of two blocks of profiles, laid end to end, some at a time."""
-    ids, others = np.asarray(ids, dtype=np.int64), np.asarray(others, dtype=np.int64)
-    x = np.asarray(p, dtype=np.float64).reshape(len(ids), -1).T
-    y = np.asarray(q, dtype=np.float64).reshape(len(others), -1).T
-    i, j = np.nonzero(ids[:, None] <= others[None, :])
-    for k in range(0, len(i), at_once):
-        a, b = i[k : k + at_once], j[k : k + at_once]
-        yield ids[a], others[b], warped(x[:, a], y[:, b])
+#: Distances to a tile's columns are kept as tables for so many values of a profile at most.
+VALUES = 32
+#: Above this share of pairs that the bounds leave open, a tile is compared as a whole.
+OPEN = 1 / 64
+
+
+def warped_rows(x: np.ndarray, y: np.ndarray, first):
+    """(k, j, distances of column k of ``x`` to the columns of ``y`` from j on), j at most ``first[k]``; whole numbers from 0.
+
+    No cell of the table exceeds a side's length times the largest value, so the narrowest type that holds that is exact.
+    The distances are overwritten by the next ones.
+    """
+    most = max(len(x), len(y)) * max(int(x.max()), int(y.max()))
+    kind = np.min_scalar_type(most)
+    x, y = x.astype(kind), np.ascontiguousarray(y, dtype=kind)
+    values, start = np.unique(x), None
+    for k in range(x.shape[1]):
+        j = int(first[k]) // 512 * 512
+        if j != start:  # views are made anew only every 512 columns
+            start, z = j, y[:, j:]
+            best, low = np.empty_like(z), np.empty_like(z)
+            cells, lows = list(best), list(low)
+            gap = lambda v, z=z: np.maximum(z, v) - np.minimum(z, v)
+            gaps = {v: list(gap(v)) for v in values} if len(values) <= VALUES else None
+        for i, v in enumerate(x[:, k]):
+            c = gaps[v] if gaps else gap(v)
+            if i == 0:
+                cells[0][:] = c[0]
+                for left, cell, more in zip(cells[:-1], cells[1:], c[1:], strict=True):
+                    np.add(left, more, out=cell)
+                continue
+            np.minimum(best[1:], best[:-1], out=low[1:])
+            np.add(best[0], c[0], out=best[0])
+            for least, left, cell, more in zip(lows[1:], cells[:-1], cells[1:], c[1:], strict=True):
+                np.minimum(least, left, out=least)
+                np.add(least, more, out=cell)
+        yield k, j, cells[-1]
+
+
+def warped_below(x: np.ndarray, y: np.ndarray, first, most: float):
+    """(k, columns, distances) of the pairs of ``warped_rows`` from ``first`` on whose distance is ``most`` or less.
+
+    Series longer than one value meet at both ends, and either's largest and smallest value meets some value of the other:
+    those bounds rule out most pairs, and only the others are compared.
+    """
+    kind = np.int32 if max(x.max(), y.max()) < 1 << 30 else np.int64
+    (x0, x1, xh, xl), (y0, y1, yh, yl) = [(a[0], a[-1], a.max(0), a.min(0)) for a in (x.astype(kind), y.astype(kind))]
+    left, n = [], 0
+    for k in range(x.shape[1]):
+        f = first[k]
+        j = f + np.flatnonzero(np.abs(y0[f:] - x0[k]) + np.abs(y1[f:] - x1[k]) <= most)
+        j = j[(np.abs(yh[j] - xh[k]) <= most) & (np.abs(yl[j] - xl[k]) <= most)]
+        n += len(j)
+        if n > OPEN * x.shape[1] * y.shape[1]:
+            break
+        left.append(j)
+    else:
+        k, j = np.repeat(np.arange(len(left)), [len(v) for v in left]), np.concatenate(left) if left else np.zeros(0, int)
+        for s in range(0, len(k), 65536):
+            a, b = k[s : s + 65536], j[s : s + 65536]
+            d = warped(x[:, a].astype(float), y[:, b].astype(float))
+            yield a[d <= most], b[d <= most], d[d <= most]
+        return
+    for k, j, d in warped_rows(x, y, first):
+        found = int(first[k]) + np.flatnonzero(d[int(first[k]) - j :] <= most)
+        yield np.full(len(found), k), found, d[found - j].astype(float)
 
 
 def common_route(a: np.ndarray, b: np.ndarray) -> list:

@@ -1,11 +1,12 @@
 """Queries whose plans must not make or move all pairs."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from orrery import registry
-from orrery.operators import ranking
-from orrery.plans import catalog  # noqa: F401
+from orrery.operators import ranking, sequences
+from orrery.plans import catalog, q_rest  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
@@ -34,3 +35,70 @@ def test_ranks_by_mode_makes_no_pairs(spark):
 def test_multimap_join_shuffles_no_pairs(spark):
     text = plan(registry.QUERIES["multimap_join"](spark, DATA))
     assert "Aggregate" not in text.split("Join")[0]  # nothing is made distinct after the join
+
+
+def warped_table(x, y):
+    cost = np.full((len(x) + 1, len(y) + 1), np.inf)
+    cost[0, 0] = 0
+    for a in range(len(x)):
+        for b in range(len(y)):
+            cost[a + 1, b + 1] = abs(int(x[a]) - int(y[b])) + min(cost[a, b], cost[a, b + 1], cost[a + 1, b])
+    return cost[-1, -1]
+
+
+@pytest.mark.parametrize("most", [1, 10, 11, 40, 3000, 10**9])
+def test_whole_number_rows_equal_warping_tables(most):
+    rng = np.random.default_rng(most)
+    x, y = rng.integers(0, most + 1, (24, 5)), rng.integers(0, most + 1, (24, 700))
+    x[:, 0], y[:, 3], first = most, 0, [0, 600, 512, 700, 1]
+    want = np.array([[warped_table(x[:, k], y[:, j]) for j in range(0, 700, 7)] for k in range(5)])
+    for k, j, d in sequences.warped_rows(x, y, first):
+        assert j <= first[k] and len(d) == 700 - j
+        at = np.arange(-(-j // 7) * 7, 700, 7)
+        assert (d[at - j] == want[k, at // 7]).all()
+
+
+@pytest.mark.parametrize("share", [0.01, 0.5])
+def test_bounds_lose_no_pair_below(share):
+    rng = np.random.default_rng(9)
+    x, y, first = rng.poisson(2, (24, 40)), rng.poisson(2, (24, 600)), rng.integers(0, 600, 40)
+    y[:, 100:130] = x[:, :30]
+    all_ = {(k, i + j): g for k, j, d in sequences.warped_rows(x, y, first) for i, g in enumerate(d.tolist()) if i + j >= first[k]}
+    most = np.quantile(list(all_.values()), share)
+    got = {}
+    for k, j, d in sequences.warped_below(x, y, first, most):
+        got |= dict(zip(zip(k.tolist(), j.tolist(), strict=True), d.tolist(), strict=True))
+    assert got == {p: g for p, g in all_.items() if g <= most}
+
+
+def test_equal_profiles_are_compared_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(q_rest, "PROFILES", 3)
+    monkeypatch.setattr(q_rest, "WIDTH", 2)
+    monkeypatch.setattr(q_rest, "USERS", 4)
+    rng = np.random.default_rng(2)
+    kinds = np.vstack([rng.poisson(1, (12, 24)), rng.poisson(1, (2, 24)) * 20])
+    kinds[11] = kinds[10]
+    kinds[11, 5], kinds[10, 5], kinds[10, 4], kinds[11, 4], kinds[10, 6], kinds[11, 6] = 1, 2, 2, 2, 1, 1  # no distance between them
+    kind = {u: u % 14 for u in range(50)} | {u: 3 for u in range(1001, 1012)}
+    rows = [(u, f"2024-01-01 {h:02d}:00:00") for u, k in kind.items() for h in range(24) for _ in range(kinds[k][h])]
+    spark.createDataFrame([*rows, (None, rows[0][1])], "user_id long, ts string").write.parquet(str(tmp_path / "events.parquet"))
+    users = sorted({u for u, _ in rows})
+    gaps = np.array([[warped_table(a, b) for b in kinds] for a in kinds])
+    d = {(u, v): gaps[kind[u], kind[v]] for u in users for v in users}
+    sigma = np.std(list(d.values()))
+    want = {p: g for p, g in d.items() if p[0] <= p[1] and np.exp(-g / sigma) > 0.83}
+    got = registry.QUERIES["profile_graph"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and any(kind[r.a] != kind[r.b] for r in got)
+    assert {(r.a, r.b): r.distance for r in got} == pytest.approx({p: g / 48 for p, g in want.items()}, abs=1e-6)
+    assert {(r.a, r.b): r.similarity for r in got} == pytest.approx({p: np.exp(-g / sigma) for p, g in want.items()}, abs=1e-6)
+    p = spark.createDataFrame([(i, [int(v) for v in k], 5) for i, k in enumerate(kinds)], "id long, p array<long>, m long")
+    left, right = q_rest._profile_blocks(p)
+    met = [(a, b) for r in left.crossJoin(right).where("block < after").collect() for a in r.a for b, of in zip(r.b, r.of, strict=True) if (of, b) > (r.block, a)]
+    assert sorted(tuple(sorted(m)) for m in met) == [(a, b) for a in range(14) for b in range(a + 1, 14)]
+
+
+def test_users_without_deviation_keep_their_own_edges(spark, tmp_path):
+    rows = [(u, f"2024-01-01 {h:02d}:00:00") for u in (1, 2, 3) for h in (4, 9)]
+    spark.createDataFrame(rows, "user_id long, ts string").write.parquet(str(tmp_path / "events.parquet"))
+    got = registry.QUERIES["profile_graph"](spark, str(tmp_path)).collect()
+    assert sorted((r.a, r.b) for r in got) == [(1, 1), (2, 2), (3, 3)]
