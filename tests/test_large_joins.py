@@ -1,5 +1,6 @@
 """Queries whose plans must not make or move all pairs."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +103,16 @@ def test_users_without_deviation_keep_their_own_edges(spark, tmp_path):
     spark.createDataFrame(rows, "user_id long, ts string").write.parquet(str(tmp_path / "events.parquet"))
     got = registry.QUERIES["profile_graph"](spark, str(tmp_path)).collect()
     assert sorted((r.a, r.b) for r in got) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_numbers_are_rounded_as_in_sql():
+    s = np.array([0.125, -0.125, 0.375, 2.5, -0.00001, 0.0, -0.5, 1e300, -1e308, 49999999.99995, np.nan, np.inf, -np.inf, *np.random.default_rng(4).normal(size=500)])
+    for places in (0, 1, 2, 4):
+        want = duckdb.sql(f"SELECT round(x, {places}) + 0.0 AS x FROM (SELECT unnest(?) AS x)", params=[s.tolist()]).fetchnumpy()["x"]
+        got = ranking.rounded(s, places)
+        assert np.array_equal(got, np.ma.filled(want, np.nan), equal_nan=True) and not np.signbit(got[got == 0]).any()
+
+
+@pytest.mark.parametrize("name", ["fact_scores", "hyperbolic_scores"])
+def test_scores_are_rounded_in_blocks(spark, name):
+    assert "round(" not in plan(registry.QUERIES[name](spark, DATA))  # no number is rounded one by one
