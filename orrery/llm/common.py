@@ -19,6 +19,12 @@ SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE_CLASS}]+"
 
+#: Local files without checksum files beside them (pages have their own, see ``stored``): where Hadoop's native library is
+#: missing it forks ``chmod`` again and again for each file, and until a fork has started it counts as a second executor.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+#: Rows that a file of a small table holds at least, unless that leaves cores idle.
+FILE_ROWS = 50_000
+
 _stored: list[tuple[SparkSession, str]] = []
 
 
@@ -38,11 +44,17 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here and no executor is needed for it."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here and no executor is needed for it.
+
+    With ``rows``, about how many there are at most, a small table goes into few files, two for each core at least.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    if rows is not None:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+    df.write.options(**PLAIN_FILES).parquet(path)
+    return spark.read.option("parquet.page.verify-checksum.enabled", "true").schema(df.schema).parquet(path)
 
 
 @atexit.register

@@ -45,7 +45,7 @@ def connected_components(links: DataFrame, label: str = "components") -> DataFra
         if mark == before or not mark[0]:
             break
         before = mark
-        edges = stored(_star(_star(edges, True), False), label)
+        edges = stored(_star(_star(edges, True), False), label, rows=mark[0])  # a round adds no edges
     else:
         raise RuntimeError(f"links had not settled after {MAX_ROUNDS} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

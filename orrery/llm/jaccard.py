@@ -485,10 +485,11 @@ def _linked_classes(prefixes: DataFrame) -> DataFrame:
         mixed = named.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("token")
         return named.join(mixed, "token")
 
-    found = stored(connected_components(links, "jaccard-stars"), "jaccard-groups")
+    few = prefixes.count()  # as many nodes at most
+    found = stored(connected_components(links, "jaccard-stars"), "jaccard-groups", rows=few)
     tried = stored(_open_pairs(still_open(), prefixes, best=True), "jaccard-best")
     links = stored(links.unionByName(_verified(prefixes, tried)), "jaccard-links")
-    found = stored(connected_components(links, "jaccard-stars"), "jaccard-groups")
+    found = stored(connected_components(links, "jaccard-stars"), "jaccard-groups", rows=few)
     rest = stored(_open_pairs(still_open(), prefixes), "jaccard-pairs")
     return links.unionByName(_verified(prefixes, rest))
 
@@ -499,7 +500,7 @@ def _members(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     made = stored(_shapes(rows), "jaccard-shapes")
     shapes = made.where("counter is null").drop("counter", "times")
-    every = shapes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    every, total = shapes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     heavy = made.where("counter is not null").groupBy("counter").agg(F.sum("times").alias("times"))
     heavy = heavy.where(F.col("times") >= max(HOT, every >> 22)).orderBy("counter").collect()
     hot = np.array([r.counter for r in heavy], np.uint64)
@@ -508,11 +509,11 @@ def _members(docs: DataFrame) -> DataFrame:
 
     usable = shapes.where("class is not null and doc_id is not null")
     classes = usable.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"))
-    classes = stored(classes, "jaccard-classes")
+    classes = stored(classes, "jaccard-classes", rows=total)
     several = classes.where("members > 1").select(F.col("class").alias("_class"), "rep")
     of = _ids_joined(usable, "class", several, "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     spare = of.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("rep")).cast("int")).alias("own"))
-    spare = stored(spare.where("own = 0").select(F.col("doc_id").alias("_id")), "jaccard-copies")
+    spare = stored(spare.where("own = 0").select(F.col("doc_id").alias("_id")), "jaccard-copies", rows=total)
     single = rows.where("doc_id is not null").select("doc_id", "text")
     blobs = _blobs(_ids_joined(single, "doc_id", spare, "left_anti").select("text"), hot, buckets, width)
     counted = stored(_counted(blobs, width), "jaccard-counted")
@@ -523,14 +524,14 @@ def _members(docs: DataFrame) -> DataFrame:
     met = texts.join(wanted, F.col("doc_id") == F.col("rep")).select("class", "text", "shared", "codes")
     prefixes = stored(_prefixes(met, hot, width).dropDuplicates(["class"]), "jaccard-prefixes")
 
-    groups = stored(connected_components(_linked_classes(prefixes), "jaccard-all"), "jaccard-components")
+    groups = stored(connected_components(_linked_classes(prefixes), "jaccard-all"), "jaccard-components", rows=total)
     linked = classes.join(groups, F.col("class") == F.col("node")).select("class", "component", "rep")
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
     linked = linked.join(least, "component").select(F.col("class").alias("_class"), F.col("component").alias("_group"), "least")
     copied = several.join(groups, F.col("_class") == F.col("node"), "left_anti")
     linked = linked.unionByName(copied.select("_class", F.col("_class").alias("_group"), F.col("rep").alias("least")))
     mine = shapes.withColumn("class", F.when(F.col("doc_id").isNotNull(), F.col("class")))
-    return _ids_joined(mine, "class", stored(linked, "jaccard-linked"), "left").select(
+    return _ids_joined(mine, "class", stored(linked, "jaccard-linked", rows=total), "left").select(
         "doc_id", "text_hash", "n", F.coalesce("_group", "class").alias("group"), F.coalesce("least", "doc_id").alias("component_id")
     )
 
@@ -567,13 +568,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     id all stay.
     """
     members = stored(_members(docs).where("doc_id is not null"), "jaccard-members")
+    total = members.count()
     first = members.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("rows"))
-    first = stored(first.where("rows > 1").select(F.col("group").alias("_group"), "first"), "jaccard-first")
+    first = stored(first.where("rows > 1").select(F.col("group").alias("_group"), "first"), "jaccard-first", rows=total)
     id_, hash_ = private(docs, "id", "hash")
     dropped = _ids_joined(members, "group", first, "inner").where(F.struct("doc_id", "text_hash") != F.col("first")).select("doc_id", "text_hash").distinct()
-    dropped = stored(dropped.toDF(id_, hash_), "jaccard-dropped")
+    dropped = stored(dropped.toDF(id_, hash_), "jaccard-dropped", rows=total)
     again = members.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash").toDF(id_, hash_)
-    again = stored(again, "jaccard-again")
+    again = stored(again, "jaccard-again", rows=total)
 
     def met(df: DataFrame, rows: DataFrame, how: str) -> DataFrame:
         few = rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
