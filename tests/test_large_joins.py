@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery import registry
 from orrery.operators import ranking, sequences
-from orrery.plans import catalog, q_rest  # noqa: F401
+from orrery.plans import catalog, q_ranking, q_rest  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
@@ -116,3 +116,59 @@ def test_numbers_are_rounded_as_in_sql():
 @pytest.mark.parametrize("name", ["fact_scores", "hyperbolic_scores"])
 def test_scores_are_rounded_in_blocks(spark, name):
     assert "round(" not in plan(registry.QUERIES[name](spark, DATA))  # no number is rounded one by one
+
+
+def shuffled(spark, df):
+    """Bytes that running ``df`` writes to shuffle files."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def so_far():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = so_far()
+    df.write.format("noop").mode("overwrite").save()
+    return so_far() - before
+
+
+def vectors_at(spark, folder, n=1300, labels=5):
+    """A table of vectors that do not compress: some without a label, in files of uneven size."""
+    rng = np.random.default_rng(6)
+    e = rng.normal(size=(n, 64)).astype("float32")
+    rows = [(3 * i, e[i].tolist(), None if i % 50 == 7 else int(i % labels)) for i in range(n)]
+    frame = lambda r: spark.createDataFrame(r, "vec_id long, embedding array<float>, label int").coalesce(1).write.mode("append").parquet(str(folder / "embeddings.parquet"))
+    frame(rows[: n - 150])
+    frame(rows[n - 150 :])
+    return sum(f.stat().st_size for f in (folder / "embeddings.parquet").glob("*.parquet"))
+
+
+def oracle(folder, name, where):
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{folder}/embeddings.parquet/*.parquet'")
+    return con.execute(f"select * from ({registry.ORACLES[name]}) where {where}").df()
+
+
+def test_fact_scores_shuffles_vectors_once_as_stored(spark, tmp_path):
+    size = vectors_at(spark, tmp_path)
+    df = registry.QUERIES["fact_scores"](spark, str(tmp_path))
+    assert shuffled(spark, df) < 4 * size  # 18.7 times while queries of four scores went through two exchanges as doubles
+    assert df.count() == 1274 * 1300
+    some = "h % 90 = 0 and t % 60 = 0"
+    got, want = (x.sort_values(["h", "t"]).reset_index(drop=True) for x in (df.where(some).toPandas(), oracle(tmp_path, "fact_scores", some)))
+    assert got[["h", "t"]].equals(want[["h", "t"]]) and len(got) > 500
+    for n in ("transe", "distmult", "complex", "rote"):
+        assert np.allclose(got[n], want[n], atol=1.01e-4, rtol=0) and (got[n] == want[n]).mean() > 0.999, n
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_relations_meet_their_heads_whether_broadcast_or_not(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(q_ranking, "FEW_LABELS", few)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=6).round(2).tolist(), None if i == 4 else i % 7) for i in range(45)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    heads, tails = q_ranking._stored(spark, str(tmp_path))
+    want = {(r.h, r.t): r.transe for r in oracle(tmp_path, "fact_scores", "true").itertuples()}
+    assert len(want) == 44 * 45
+    for block in (4, 1024):
+        df = ranking.relation_scores(heads, tails, ranking.queries, {"transe": lambda q, t: -np.sqrt(ranking.distances(q, t))}, 4, block=block)
+        assert {(r.h, r.t): r.transe for r in df.collect()} == pytest.approx(want, abs=1.01e-4)
